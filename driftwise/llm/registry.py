@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 WHERE = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op2_url_filters": "url_filter",
+    "op3_minhash_near_dedup": "minhash_dedup",
+    "op8_suffix_array_dedup": "suffix_dedup",
     "op4_approximate_nearest_neighbours": "neighbours",
 }
 
