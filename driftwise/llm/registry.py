@@ -12,6 +12,7 @@ WHERE = {
     "op1_embedding_near_dedup": "embedding_dedup",
     "op2_url_filters": "url_filter",
     "op3_minhash_near_dedup": "minhash_dedup",
+    "op5_best_fit_packing": "packing",
     "op8_suffix_array_dedup": "suffix_dedup",
     "op4_approximate_nearest_neighbours": "neighbours",
 }
