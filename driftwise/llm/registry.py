@@ -14,6 +14,7 @@ WHERE = {
     "op3_minhash_near_dedup": "minhash_dedup",
     "op5_best_fit_packing": "packing",
     "op9_chat_formatting": "chat",
+    "op10_html_extraction": "html_text",
     "op8_suffix_array_dedup": "suffix_dedup",
     "op4_approximate_nearest_neighbours": "neighbours",
 }
