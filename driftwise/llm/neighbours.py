@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import _matrix, usable
 from .shared import short_batches, stored, table
 
-TREES, LEAF, MAX_DEPTH, SAMPLE, SEED = 4, 256, 8, 20_000, 4242
+TREES, LEAF, MAX_DEPTH, SAMPLE, SEED = 4, 128, 6, 20_000, 4242
 #: Share of the rows (counted in every tree) among which a query looks; see the README for the recall.
 SHARE = 1.3
 #: Most index rows and most queries that one task holds at once.
