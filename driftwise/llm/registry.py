@@ -15,6 +15,7 @@ WHERE = {
     "op5_best_fit_packing": "packing",
     "op9_chat_formatting": "chat",
     "op10_html_extraction": "html_text",
+    "op7_quality_classifier": "quality",
     "op8_suffix_array_dedup": "suffix_dedup",
     "op4_approximate_nearest_neighbours": "neighbours",
 }
