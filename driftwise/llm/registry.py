@@ -16,6 +16,7 @@ WHERE = {
     "op9_chat_formatting": "chat",
     "op10_html_extraction": "html_text",
     "op7_quality_classifier": "quality",
+    "op6_source_mixing": "mixing",
     "op8_suffix_array_dedup": "suffix_dedup",
     "op4_approximate_nearest_neighbours": "neighbours",
 }
