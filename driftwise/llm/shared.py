@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage, so that shuffle files of finished steps can go."""
-    import gc
+    """Ask the driver to collect garbage, so that shuffle files of finished steps can go.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The listener bus holds on to an execution until its events are handled, so
+    the collection is asked for again a moment later.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -99,22 +99,40 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[first + document]), pa.array(at), pa.array(own.view(np.int64))], names=["anchor", "id", "at", "own"])
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a binary or string column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat[at[0] : at[-1]], at - at[0]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of [start, start + size) for each pair, in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _binary(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat[_ranges(start, size)].tobytes())])
+
+
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        id_, anchor, at, own, crowd, raw = [], [], [], [], [], []
-        for row in range(len(batch)):
-            text = texts[row].as_py() or b""
-            for x in batch.column("runs")[row].as_py():
-                start, count = divmod(x["at"], 64)
-                piece = text[start : start + count + LENGTH - 1]
-                if len(piece) == count + LENGTH - 1:
-                    id_.append(batch.column("id")[row].as_py())
-                    anchor.append(x["anchor"])
-                    at.append(x["at"])
-                    crowd.append(x["crowd"])
-                    raw.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(id_, pa.int64()), pa.array(at, pa.int64()), pa.array(crowd, pa.bool_()), pa.array(raw, pa.binary())], names=["anchor", "id", "at", "crowd", "raw"])
+        flat, offsets = _flat(batch.column("text").fill_null(""))
+        runs = batch.column("runs")
+        row = np.repeat(np.arange(len(batch)), np.array(runs.value_lengths().fill_null(0)))
+        at = np.array(runs.flatten().field("at"))
+        start, size = at // 64 + offsets[row], at % 64 + LENGTH - 1
+        fits = pa.array(start + size <= offsets[row + 1])
+        keep = np.array(fits)
+        found = runs.flatten().filter(fits)
+        yield pa.RecordBatch.from_arrays(
+            [found.field("anchor"), batch.column("id").take(pa.array(row[keep])), found.field("at"), found.field("crowd"), _binary(flat, start[keep], size[keep])],
+            names=["anchor", "id", "at", "crowd", "raw"],
+        )
 
 
 def suffix_order(flat: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -162,14 +180,11 @@ def longest_previous_factor(lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return lpf
 
 
-def repeats(raw: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each stretch, which of its windows start in a stretch of a smaller id."""
-    sizes = np.array([len(x) for x in raw])
-    flat = np.frombuffer(b"".join(raw), np.uint8)
-    base = np.r_[0, np.cumsum(sizes)]
-    count = sizes - length + 1
-    of = np.repeat(np.arange(len(raw)), count)
-    starts = base[of] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+def repeats(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of the stretches flat[offsets[k] : offsets[k + 1]]: its stretch, its start in ``flat``, and whether it occurs under a smaller id."""
+    count = np.maximum(0, np.diff(offsets) - length + 1)
+    of = np.repeat(np.arange(len(count)), count)
+    starts = _ranges(offsets[:-1], count)
     order = suffix_order(flat, starts, length)
     lcp = adjacent_lcp(flat, starts[order], length)
     # suffixes that share less than ``length`` with both neighbours have no match; the rest keep their order
@@ -178,40 +193,34 @@ def repeats(raw: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.
     lpf = longest_previous_factor(lcp[near], ids[of[order[near]]])
     hit = np.zeros(len(starts), bool)
     hit[order[near]] = lpf >= length
-    return np.split(hit, np.cumsum(count)[:-1])
-
-
-def _lpf(batches_or_table: pa.Table) -> pa.Table:
-    ids = np.array(batches_or_table.column("id"))
-    raw = batches_or_table.column("raw").to_pylist()
-    at = np.array(batches_or_table.column("at"))
-    out_id, start, size, own = [], [], [], []
-    for k, hit in enumerate(repeats(raw, ids)):
-        edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-        for a, b in edges.reshape(-1, 2):
-            out_id.append(ids[k])
-            start.append(at[k] // 64 + a)
-            size.append(b - a + LENGTH - 1)
-            own.append(_one_print(raw[k][a : b + LENGTH - 1]))
-    return pa.table({"id": pa.array(out_id, pa.int64()), "start": pa.array(start, pa.int64()), "size": pa.array(size, pa.int64()), "own": pa.array(own, pa.int64())})
+    return of, starts, hit
 
 
-def _one_print(piece: bytes) -> int:
-    p = prefix(np.frombuffer(piece, np.uint8))
-    return int(prints(p, np.array([0]), np.array([len(piece)])).view(np.int64)[0])
+def _lpf(group: pa.Table) -> pa.Table:
+    ids, at = np.array(group.column("id")), np.array(group.column("at"))
+    flat, offsets = _flat(group.column("raw"))
+    of, starts, hit = repeats(flat, offsets, ids)
+    of, starts = of[hit], starts[hit]
+    # runs of consecutive windows of one stretch
+    new = np.r_[True, (np.diff(starts) != 1) | (np.diff(of) != 0)] if len(of) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(of)]) + LENGTH - 1
+    k, begin = of[first], starts[first]
+    own = prints(prefix(flat), begin, size).view(np.int64)
+    return pa.table({"id": pa.array(ids[k]), "start": pa.array(at[k] // 64 + begin - offsets[k]), "size": pa.array(size.astype(np.int64)), "own": pa.array(own)})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, ids, at = batch.column("raw").to_pylist(), np.array(batch.column("id")), np.array(batch.column("at"))
-        w, i, s, o = [], [], [], []
-        for k, piece in enumerate(raw):
-            for a in range(len(piece) - LENGTH + 1):
-                w.append(piece[a : a + LENGTH])
-                i.append(ids[k])
-                s.append(at[k] // 64 + a)
-                o.append(_one_print(w[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(o, pa.int64())], names=["w", "id", "start", "own"])
+        for a in range(0, len(batch), 4096):
+            some = batch.slice(a, 4096)
+            ids, at = np.array(some.column("id")), np.array(some.column("at"))
+            flat, offsets = _flat(some.column("raw"))
+            count = np.maximum(0, np.diff(offsets) - LENGTH + 1)
+            of, starts = np.repeat(np.arange(len(count)), count), _ranges(offsets[:-1], count)
+            size = np.full(len(starts), LENGTH)
+            own = prints(prefix(flat), starts, size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([_binary(flat, starts, size), pa.array(ids[of]), pa.array(at[of] // 64 + starts - offsets[of]), pa.array(own)], names=["w", "id", "start", "own"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
