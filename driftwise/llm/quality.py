@@ -244,6 +244,22 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str], text: str = "t
     return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
+def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose score is at least ``threshold``."""
+    short_batches(docs.sparkSession)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for a, b, data, offsets in chunks(batch.column(text)):
+                keep[a:b] = model.score(*line_features(data, offsets)) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

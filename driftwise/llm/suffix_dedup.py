@@ -223,32 +223,51 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_binary(flat, starts, size), pa.array(ids[of]), pa.array(at[of] // 64 + starts - offsets[of]), pa.array(own)], names=["w", "id", "start", "own"])
 
 
+def _covered(text: bytes, found: pa.Scalar) -> np.ndarray:
+    """Which bytes of a text lie in the spans found that hold what they were found with."""
+    gone = np.zeros(len(text) + 1, np.int32)
+    if found.is_valid and len(found.values):
+        s, n, own = (np.array(found.values.field(c)) for c in ("start", "size", "own"))
+        inside = s + n <= len(text)
+        s, n, own = s[inside], n[inside], own[inside]
+        true = prints(prefix(np.frombuffer(text, np.uint8)), s, n).view(np.int64) == own
+        np.add.at(gone, s[true], 1)
+        np.add.at(gone, (s + n)[true], -1)
+    return np.cumsum(gone)[:-1] > 0
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
-        spans = batch.column("spans")
         out: list[tuple] = []
         for row in range(len(batch)):
             text = texts[row].as_py() or b""
-            gone = np.zeros(len(text) + 1, np.int32)
-            found = spans[row]
-            if found.is_valid and len(found.values):
-                s, n, own = (np.array(found.values.field(c)) for c in ("start", "size", "own"))
-                inside = s + n <= len(text)
-                s, n, own = s[inside], n[inside], own[inside]
-                p = prefix(np.frombuffer(text, np.uint8))
-                true = prints(p, s, n).view(np.int64) == own
-                np.add.at(gone, s[true], 1)
-                np.add.at(gone, (s + n)[true], -1)
-            covered = np.cumsum(gone)[:-1] > 0
+            covered = _covered(text, batch.column("spans")[row])
             edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-            kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
+            kept = np.frombuffer(text, np.uint8)[~covered].tobytes() if len(edges) else text
             out.append((len(text), int(covered.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept, edges.tolist()))
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
         arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "edges"])
 
 
+def _stripped(names: list[str], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(names[at]).cast(pa.large_binary())
+            spans = batch.column("_spans")
+            out = []
+            for row in range(len(batch)):
+                text = texts[row].as_py()
+                if text is not None and spans[row].is_valid:
+                    text = np.frombuffer(text, np.uint8)[~_covered(text, spans[row])].tobytes()
+                out.append(text.decode("utf-8", "ignore") if text is not None else None)
+            columns = [pa.array(out, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(id, start, size, own) of stretches to remove, of a table (id, text) without null ids."""
     anchors = texts.mapInArrow(_anchors, "anchor long, id long")
@@ -297,6 +316,20 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from its texts; a character that loses a byte goes whole.
+
+    All rows and columns stay, n_chars (if there) is counted anew, and a null
+    text stays null.
+    """
+    short_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    per = repeated_spans(source).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "size", "own")).alias("_spans"))
+    joined = docs.join(per, docs[id_col].cast("long") == per["_id"], "left").select(*docs.columns, "_spans")
+    out = joined.mapInArrow(_stripped(docs.columns, docs.columns.index(text)), docs.schema)
+    return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = cut_repeats(table(spark, sf_dir, "documents"))
