@@ -84,11 +84,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of rows whose text is the one that was signed."""
     for batch in batches:
-        found = [p for _, p in shingles(batch.column("text"), SIZE)]
+        want = [np.array(batch.column(c)) for c in ("n", "s1", "s2")]
+        rows, found = [], []
+        for row, prints in shingles(batch.column("text"), SIZE):
+            sums = np.array([prints.sum(), mix(prints).sum()], np.uint64).view(np.int64)
+            if len(prints) == want[0][row] and sums[0] == want[1][row] and sums[1] == want[2][row]:
+                rows.append(row)
+                found.append(prints)
         offsets = np.r_[0, np.cumsum([len(p) for p in found])].astype(np.int32)
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "prints"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "prints"])
 
 
 def _confirm(percent: int):
@@ -115,21 +122,24 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 
     Documents are linked when 100 * |A and B| >= ``percent`` * |A or B| on their
     sets of distinct 5-word shingles. Null, empty and blank texts have empty
-    sets and link with nothing. A repeated id is one document per text, and its
-    component is the smallest one found. Other columns are not read.
+    sets and link with nothing. Of rows that repeat an id with different texts,
+    the one with the fewest shingles counts, and an id has one row in the result.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stored(texts.mapInArrow(_signed, "id long, n long, s1 long, s2 long, buckets array<long>"))
-    full = signed.where("n > 0")
+    signed = texts.mapInArrow(_signed, "id long, n long, s1 long, s2 long, buckets array<long>")
+    once = stored(signed.groupBy("id").agg(F.min(F.struct("n", "s1", "s2", "buckets")).alias("s")).select("id", "s.*"))
+    full = once.where("n > 0")
     first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    member = stored(full.select("id", "n", "s1", "s2").join(first, ["n", "s1", "s2"]).select("id", "rep"))
-    reps = full.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("buckets").alias("bucket"))
-    met = reps.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where("m > 1 and leader is not null")
-    in_buckets = stored(reps.join(met.select("bucket"), "bucket").select("bucket", "id", "n").distinct())
-    wanted = in_buckets.select("id").distinct()
-    sets = Stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, prints array<long>"))
+    member = stored(full.join(first, ["n", "s1", "s2"]).select("id", "rep", "n", "s1", "s2", F.when(F.col("id") == F.col("rep"), F.col("buckets")).alias("buckets")))
+    reps = member.where("buckets is not null").select("id", "n", "s1", "s2", F.explode("buckets").alias("bucket"))
+    met = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    in_buckets = stored(reps.join(met, "bucket").select("bucket", "id", "n", "s1", "s2"))
+    wanted = in_buckets.select("id", "n", "s1", "s2").distinct()
+    sets = Stored(texts.join(wanted, "id").select("id", "n", "s1", "s2", "text").mapInArrow(_sets, "id long, prints array<long>").dropDuplicates(["id"]))
+    release(spark)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.df.select(F.col("id").alias("a"), F.col("prints").alias("pa")), "a")
@@ -140,15 +150,14 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and a <> b")
     links = None
     state = in_buckets.select("bucket", "id", "n", F.col("id").alias("c"))
-    tried = None
     for turn in range(LEADER_ROUNDS + 1):
-        per = state.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("parts")).where("parts > 1")
+        per = state.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
+        mixed = stored(per.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
         total = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
         if not total[0]:
             break
         left = state.join(mixed.select("bucket"), "bucket")
-        last = turn == LEADER_ROUNDS or total[0] <= 4 * total[1]
+        last = turn > 0 and (turn == LEADER_ROUNDS or total[0] <= 2 * total[1])
         if last:
             one = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             two = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
@@ -157,26 +166,24 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
             pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             leader = left.groupBy("bucket").agg(F.min(pick).alias("l")).select("bucket", "l.a", "l.na", "l.ca")
             pairs = left.join(leader, "bucket").withColumnsRenamed({"id": "b", "n": "nb", "c": "cb"}).where("ca <> cb").where(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(confirmed(pairs))
+        new = stored(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         links = new if links is None else links.unionByName(new)
-        component = stored(connected_components(links))
         if last:
             break
-        state = stored(in_buckets.join(component, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c")))
+        # labels within components, found in two steps: enough to leave out most pairs that are connected already
+        sym = links.select(F.col("a").alias("id"), F.col("b").alias("c")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("c")))
+        label = stored(sym.groupBy("id").agg(F.min("c").alias("c")).select("id", F.least("id", "c").alias("c")))
+        onward = label.select(F.col("id").alias("c"), F.col("c").alias("cc"))
+        label = label.join(onward, "c", "left").select("id", F.coalesce("cc", "c").alias("c"))
+        state = stored(in_buckets.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("c")))
     sets.drop()
     release(spark)
     if links is None:
         of = member.select("id", F.col("rep").alias("component"))
     else:
-        of = member.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    of = of.groupBy("id").agg(F.min("component").alias("component"))
-    sized = signed.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    return sized.join(of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        component = connected_components(links).select(F.col("id").alias("rep"), "component")
+        of = member.join(component, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    return once.select("id", F.col("n").alias("n_shingles")).join(of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,11 +7,13 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; texts are long, so batches are kept short.
 BATCH_ROWS = 1024
+#: Rows of ids that one task writes without trouble.
+ROWS_A_FILE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A DataFrame written to the shared folder and read back, so its lineage ends there."""
+    """A DataFrame written to the shared folder and read back, so its lineage ends there.
 
-    def __init__(self, df: DataFrame):
+    ``seen`` are aggregates taken while writing. A frame whose number of rows is
+    about known (``rows``) is written by as few tasks as that asks for.
+    """
+
+    def __init__(self, df: DataFrame, rows: int | None = None, **aggregates):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/driftwise/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        watch = Observation() if aggregates else None
+        out = df.observe(watch, *(c.alias(n) for n, c in aggregates.items())) if watch else df
+        if rows is not None:
+            out = out.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        out.write.parquet(self.path)
+        self.seen = watch.get if watch else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -47,8 +58,8 @@ class Stored:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    return Stored(df).df
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    return Stored(df, rows).df
 
 
 def release(spark: SparkSession) -> None:
@@ -75,33 +86,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def centred(sym: DataFrame, centre: DataFrame) -> DataFrame:
         return sym.join(centre, "u")
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    now = Stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = mark(now.df)
-    while seen[0]:
+    # stars have reached their final form when a round leaves count and checksum of the edges as they were
+    mark = {"n": F.count(F.lit(1)), "check": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    ends_of = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = Stored(ends_of, **mark)
+    while now.seen["n"]:
         e = now.df
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = centred(sym, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = centred(large, small_least)
         star = (
-            pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            centred(large, small_least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small_least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        then = Stored(star)
-        mark_then = mark(then.df)
+        then = Stored(star, now.seen["n"], **mark)
         now.drop()
+        settled = then.seen == now.seen
         now = then
-        if mark_then == seen:
+        if settled:
             break
-        seen = mark_then
     ends = now.df
     return ends.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         ends.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
