@@ -36,7 +36,7 @@ def report(found: DataFrame, code: str, span: str, today=None) -> DataFrame:
         F.format_string("# 公司 %s 专利文本提取报告\n\n**提取范围**: %s  \n**专利总数**: %d 件  \n**数据日期**: %s\n\n---\n", F.lit(code), F.lit(span), "n", day).alias("value"),
     )
     years = found.groupBy("p_year").agg(F.count(F.lit(1)).alias("n")).select("p_year", F.lit(0).alias("k"), F.format_string("## %d年 (%d件专利)\n", "p_year", "n").alias("value"))
-    place = Window.partitionBy("p_year").orderBy(F.asc_nulls_last("p_date"), "p_id")
+    place = Window.partitionBy("p_year").orderBy(*(F.asc_nulls_last(c) for c in ("p_date", "p_id") if c in found.columns), "p_year")
     blocks = found.select(
         "p_year", F.row_number().over(place).alias("k"),
         F.format_string(

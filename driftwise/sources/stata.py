@@ -45,6 +45,7 @@ class StataReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         chunk = int(self.source.options.get("chunk", "100000"))
         with self.source._open() as f:
+            f.data_label  # opens the file
             total = f._nobs
         return [Rows(k, min(total, k + chunk)) for k in range(0, total, chunk)] or [Rows(0, 0)]
 
@@ -52,7 +53,6 @@ class StataReader(DataSourceReader):
         import pandas as pd
 
         with self.source._open() as f:
-            f._lines_read = 0
             done = 0
             while done < part.start:  # the format has fixed widths, but pandas only reads on
                 done += len(f.read(min(part.start - done, 100_000)))
