@@ -179,7 +179,7 @@ class Weights:
         self.place = {m: float(w[i]) for m, i in names.items()}
         self.bias = float(bias)
         #: cost of a tag: more for tags that stand outside articles
-        self.tag = {m: -(0.01 + (1 - share[m]) ** 2) for m in seen}
+        self.tag = {m: -(0.01 + 0.2 * (1 - share[m]) ** 2) for m in seen}
         self.known: dict[tuple[str, ...], float] = {}
 
     def likely(self, places: tuple[str, ...]) -> float:
