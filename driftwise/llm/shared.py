@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -29,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is set (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="driftwise-")
+        own = tempfile.mkdtemp(prefix="driftwise-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -62,6 +66,12 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     return Stored(df, rows).df
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables; results not yet read or written need theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/driftwise")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver to collect garbage, so that shuffle files of finished steps can go.
 
