@@ -11,8 +11,8 @@ Copies with equal sets are one class and only its first document goes on. In a
 bucket of any size, members are first compared with a leader, and components of
 the confirmed links are formed; pairs within one component need no further look
 since only components are asked for. While the pairs left across components
-outweigh the documents, further leaders are tried, and then every pair left is
-confirmed. So no bucket is ever expanded into all its pairs when it hangs
+outweigh the documents and each leader halves them, further leaders are tried,
+and then every pair left is confirmed. So no bucket is ever expanded into all its pairs when it hangs
 together, no cap is set, and no link between components is lost.
 """
 
@@ -150,6 +150,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and a <> b")
     links = None
     state = in_buckets.select("bucket", "id", "n", F.col("id").alias("c"))
+    before = None
     for turn in range(LEADER_ROUNDS + 1):
         per = state.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
         mixed = stored(per.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
@@ -157,7 +158,9 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
         if not total[0]:
             break
         left = state.join(mixed.select("bucket"), "bucket")
-        last = turn > 0 and (turn == LEADER_ROUNDS or total[0] <= 2 * total[1])
+        # leaders are tried as long as each round halves the pairs left, which outweigh the documents
+        last = turn > 0 and (turn == LEADER_ROUNDS or total[0] <= 2 * total[1] or total[0] > before / 2)
+        before = total[0]
         if last:
             one = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             two = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
