@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -13,20 +13,22 @@ def self_similarity(docs: DataFrame, blocks: int = 16, entity: str = "stkcd", da
 
     Earlier is by (date, id). Pairs are made once, each costing one dot product
     of unit vectors; the earlier side is copied to ``blocks`` parts of the later
-    one, so an entity with very many documents is spread over tasks, and pairs
-    are reduced in place. Documents without usable vectors have null results.
+    one, so an entity with very many documents is spread over tasks, no task
+    sorts an entity, and pairs are reduced in place. An id is unique within its
+    entity and date. Documents without usable vectors have null results.
     """
-    order = Window.partitionBy(entity).orderBy(F.asc_nulls_last(date), id_col)
     v = V.as_doubles(F.col("embedding"))
     length = V.norm(v)
     usable = (F.size(v) > 0) & ~F.exists(v, lambda x: ~V.is_finite(x)) & (length > V.TOLERANCE)
-    ranked = docs.withColumns({"_rk": F.row_number().over(order), "_u": F.when(usable, F.transform(v, lambda x: x / length))})
-    later = ranked.select(F.col(entity), F.col(id_col), F.col(date), F.col("_rk"), F.col("_u"), F.pmod(F.col("_rk"), F.lit(blocks)).alias("_b"))
-    earlier = ranked.where("_u is not null").select(F.col(entity).alias("_e"), F.col("_rk").alias("_r"), F.col(date).alias("_d"), F.col("_u").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_c"))
-    pairs = later.where("_u is not null").join(earlier, (F.col(entity) == F.col("_e")) & (F.col("_b") == F.col("_c")) & (F.col("_r") < F.col("_rk")))
-    sims = pairs.select(entity, "_rk", F.when(F.size("_u") == F.size("_w"), V.dot(F.col("_u"), F.col("_w"))).alias("s"), "_r", "_d").where("s is not null")
-    best = sims.groupBy(entity, "_rk").agg(F.max(F.struct("s", (-F.col("_r")).alias("k"), "_d")).alias("m"), F.avg("s").alias("sim_ave"))
+    place = F.struct(F.coalesce(F.col(date), F.lit("9999-12-31").cast("date")).alias("d"), F.col(id_col).alias("i"))
+    units = docs.where(usable).select(F.col(entity).alias("_e"), place.alias("_o"), F.col(date).alias("_d"), F.transform(v, lambda x: x / length).alias("_u"))
+    later = units.withColumn("_b", F.pmod(F.xxhash64("_o"), F.lit(blocks)))
+    earlier = units.select(F.col("_e").alias("_f"), F.col("_o").alias("_q"), F.col("_d").alias("_g"), F.col("_u").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_c"))
+    pairs = later.join(earlier, (F.col("_e") == F.col("_f")) & (F.col("_b") == F.col("_c")) & (F.col("_q") < F.col("_o")))
+    sims = pairs.select("_e", "_o", F.when(F.size("_u") == F.size("_w"), V.dot(F.col("_u"), F.col("_w"))).alias("s"), "_q", "_g").where("s is not null")
+    best = sims.groupBy("_e", "_o").agg(F.min(F.struct((-F.col("s")).alias("s"), "_q", "_g")).alias("m"), F.avg("s").alias("sim_ave"))
     years = [c for c in ("p_year",) if c in docs.columns]
-    return ranked.join(best, [entity, "_rk"], "left").select(
-        entity, *years, id_col, date, F.col("m.s").alias("sim_max"), F.datediff(F.col(date), F.col("m._d")).alias("sim_max_d"), "sim_ave"
+    keyed = docs.select(entity, *years, id_col, date, place.alias("_p"))
+    return keyed.join(best, (F.col(entity) == F.col("_e")) & (F.col("_p") == F.col("_o")), "left").select(
+        entity, *years, id_col, date, (-F.col("m.s")).alias("sim_max"), F.datediff(F.col(date), F.col("m._g")).alias("sim_max_d"), "sim_ave"
     )
