@@ -7,13 +7,15 @@ signature is the elementwise minimum of as many windows as there are shingles.
 Rows of the signature are cut into bands; documents that share a band are
 candidates, and candidates are confirmed on their full shingle sets.
 
-Copies with equal sets are one class and only its first document goes on. In a
-bucket of any size, members are first compared with a leader, and components of
-the confirmed links are formed; pairs within one component need no further look
-since only components are asked for. While the pairs left across components
-outweigh the documents and each leader halves them, further leaders are tried,
-and then every pair left is confirmed. So no bucket is ever expanded into all its pairs when it hangs
-together, no cap is set, and no link between components is lost.
+Copies with equal sets are one class and only its first document goes on. The
+members of a bucket of any size are compared with its first document only, and
+components of the confirmed links are formed; pairs within one component need no
+further look, since only components are asked for. Documents that share buckets
+across components are then compared by an exact prefix filter: tokens are
+ordered from the rarest, and a pair can only reach the threshold if it has a
+token in common early enough in both orders. So an edited copy whose own
+shingles alone rule out a link costs no comparison, no bucket is expanded into
+all its pairs, no cap is set, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from .bytes_of import mix, shingles
 from .shared import Stored, connected_components, release, short_batches, stored, table
 
 SLOTS, BANDS, ROWS, SEED, SIZE = 1 << 20, 24, 6, 77, 5
-#: Rounds with one leader per bucket at most; then all pairs left are confirmed.
-LEADER_ROUNDS = 8
 
 
 class Circulant:
@@ -117,6 +117,32 @@ def _confirm(percent: int):
     return run
 
 
+def prefix_pairs(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of different components that an exact prefix filter can't rule out, of (id, c, prints).
+
+    A link needs an overlap of at least percent / (100 + percent) of both sizes
+    together. With both sets in one order, it is at most what follows the first
+    common token in either set, that token included; so pairs meet on tokens
+    among the first that leave enough behind, and on tokens alone of which more
+    than one document has any. Of each token, the commonest component is left
+    out on one side, so a large component is never joined with itself.
+    """
+    tokens = docs.select("id", "c", F.explode("prints").alias("t"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(often, "t").groupBy("id", "c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("all"))
+    n = F.size("all")
+    # the shortest partner allowed needs the least overlap: percent % of the own size
+    reach = n - F.ceil(n * percent / 100) + 1
+    early = ranked.select("id", "c", n.cast("long").alias("n"), F.posexplode(F.slice("all", 1, reach.cast("int"))).alias("p", "x")).select("id", "c", "n", "p", "x.t", "x.df").where("df > 1").drop("df")
+    early = stored(early)
+    shares = early.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
+    most = shares.groupBy("t").agg(F.max_by("c", "k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "most")
+    one = early.join(most, "t").where("c <> most").select("t", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    two = early.select("t", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
+    enough = F.expr(f"(100 + {percent}) * least(nx - px, ny - py) >= {percent} * (nx + ny) and cx <> cy")
+    return one.join(two, "t").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component of every document with a non-null id.
 
@@ -146,46 +172,22 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
         with_b = with_a.join(sets.df.select(F.col("id").alias("b"), F.col("prints").alias("pb")), "b")
         return with_b.select("a", "b", "pa", "pb").mapInArrow(_confirm(percent), "a long, b long")
 
-    # sizes alone rule out many pairs: the smaller set must hold percent % of the larger one
-    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and a <> b")
-    links = None
-    state = in_buckets.select("bucket", "id", "n", F.col("id").alias("c"))
-    before = None
-    for turn in range(LEADER_ROUNDS + 1):
-        per = state.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
-        mixed = stored(per.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-        total = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
-        if not total[0]:
-            break
-        left = state.join(mixed.select("bucket"), "bucket")
-        # leaders are tried as long as each round halves the pairs left, which outweigh the documents
-        last = turn > 0 and (turn == LEADER_ROUNDS or total[0] <= 2 * total[1] or total[0] > before / 2)
-        before = total[0]
-        if last:
-            one = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            two = left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = one.join(two, "bucket").where("ca <> cb and a < b").where(near)
-        else:
-            pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            leader = left.groupBy("bucket").agg(F.min(pick).alias("l")).select("bucket", "l.a", "l.na", "l.ca")
-            pairs = left.join(leader, "bucket").withColumnsRenamed({"id": "b", "n": "nb", "c": "cb"}).where("ca <> cb").where(near)
-        new = stored(confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        links = new if links is None else links.unionByName(new)
-        if last:
-            break
-        # labels within components, found in two steps: enough to leave out most pairs that are connected already
-        sym = links.select(F.col("a").alias("id"), F.col("b").alias("c")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("c")))
-        label = stored(sym.groupBy("id").agg(F.min("c").alias("c")).select("id", F.least("id", "c").alias("c")))
-        onward = label.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        label = label.join(onward, "c", "left").select("id", F.coalesce("cc", "c").alias("c"))
-        state = stored(in_buckets.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("c")))
+    first_of = in_buckets.groupBy("bucket").agg(F.min("id").alias("a"))
+    pairs = in_buckets.select("bucket", F.col("id").alias("b")).join(first_of, "bucket").where("a <> b").select("a", "b").distinct()
+    links = stored(confirmed(pairs))
+    component = connected_components(links)
+    # documents in buckets that hold more than one component still
+    state = in_buckets.select("bucket", "id").join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    left = stored(state.join(mixed, "bucket").select("id", "c").distinct())
+    more = stored(confirmed(prefix_pairs(left.join(sets.df, "id"), percent)))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        component = connected_components(links)
     sets.drop()
     release(spark)
-    if links is None:
-        of = member.select("id", F.col("rep").alias("component"))
-    else:
-        component = connected_components(links).select(F.col("id").alias("rep"), "component")
-        of = member.join(component, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    component = component.select(F.col("id").alias("rep"), "component")
+    of = member.select("id", "rep").join(component, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return once.select("id", F.col("n").alias("n_shingles")).join(of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
