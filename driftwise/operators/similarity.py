@@ -18,31 +18,49 @@ def require_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df
 
 
-def similarity(years: DataFrame, vector: str = "embedding", suffix: str = "", calendar: bool = False, entity: str = "stkcd", year: str = "p_year") -> DataFrame:
+def similarities(years: DataFrame, vectors: dict[str, str], calendar: bool = False, entity: str = "stkcd", year: str = "p_year") -> DataFrame:
     """Cosine to the row before, to the mean of the three before, and to the mean of all before.
 
-    Rows, not calendar years, are counted, unless ``calendar`` is set; then
-    the first two are null where one of the years they need is missing. All three
-    read one window, so the table is dealt out and sorted once. An entity has as
-    many rows as years, which bounds what its frames hold.
+    ``vectors`` gives the suffix of the measures of each vector column. Rows, not
+    calendar years, are counted, unless ``calendar`` is set; then the first two
+    are null where one of the years they need is missing. All measures of all
+    vectors read one window, so the table is dealt out and sorted once. An entity
+    has as many rows as years, which bounds what its frames hold.
     """
-    require_vectors(years, vector)
     by = Window.partitionBy(entity).orderBy(year)
-    v = V.as_doubles(F.col(vector))
-    rows = years.withColumn("_v", v).withColumns({
-        "_1": F.lag("_v", 1).over(by), "_3": F.collect_list("_v").over(by.rowsBetween(-3, -1)), "_a": F.collect_list("_v").over(by.rowsBetween(Window.unboundedPreceding, -1)),
-        "_y1": F.lag(year, 1).over(by), "_y3": F.lag(year, 3).over(by),
-    })
+    added = {"_y1": F.lag(year, 1).over(by), "_y3": F.lag(year, 3).over(by)}
+    rows = years
+    for k, vector in enumerate(vectors):
+        require_vectors(years, vector)
+        rows = rows.withColumn(f"_v{k}", V.as_doubles(F.col(vector)))
+        added |= {
+            f"_one{k}": F.lag(f"_v{k}", 1).over(by),
+            f"_three{k}": F.collect_list(f"_v{k}").over(by.rowsBetween(-3, -1)),
+            f"_all{k}": F.collect_list(f"_v{k}").over(by.rowsBetween(Window.unboundedPreceding, -1)),
+        }
     near = (F.col("_y1") == F.col(year) - 1) if calendar else F.lit(True)
     three = (F.col("_y3") == F.col(year) - 3) if calendar else F.lit(True)
-    own = F.col("_v")
-    values = (
-        F.when(near, V.safe_cosine(own, F.col("_1"))),
-        F.when((F.size("_3") == 3) & three, V.safe_cosine(own, V.mean_of(F.col("_3")))),
-        V.safe_cosine(own, V.mean_of(F.col("_a"))),
-    )
+    measures = []
+    for k, suffix in enumerate(vectors.values()):
+        own = F.col(f"_v{k}")
+        values = (
+            F.when(near, V.safe_cosine(own, F.col(f"_one{k}"))),
+            F.when((F.size(f"_three{k}") == 3) & three, V.safe_cosine(own, V.mean_of(F.col(f"_three{k}")))),
+            V.safe_cosine(own, V.mean_of(F.col(f"_all{k}"))),
+        )
+        measures += [x.alias(n + suffix) for x, n in zip(values, NAMES, strict=True)]
     kept = [c for c in ("n_patents", "n_texts_used") if c in years.columns]
-    return rows.select(entity, year, *kept, *(x.alias(n + suffix) for x, n in zip(values, NAMES, strict=True)))
+    return rows.withColumns(added).select(entity, year, *kept, *measures)
+
+
+def similarity(years: DataFrame, vector: str = "embedding", suffix: str = "", calendar: bool = False, entity: str = "stkcd", year: str = "p_year") -> DataFrame:
+    """``similarities`` of one vector column."""
+    return similarities(years, {vector: suffix}, calendar, entity, year)
+
+
+def both(years: DataFrame, **options) -> DataFrame:
+    """The measures of the plain and of the weighted vectors, where one table has both: no join is needed."""
+    return similarities(years, {"embedding": "", "embedding_citw": "_citw"}, **options)
 
 
 def merged(simple: DataFrame, weighted: DataFrame | None, entity: str = "stkcd", year: str = "p_year") -> DataFrame:

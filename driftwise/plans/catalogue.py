@@ -34,7 +34,13 @@ def _weighted(spark, sf_dir) -> DataFrame:
 
 
 def _merged(spark, sf_dir) -> DataFrame:
-    return similarity.merged(_simple(spark, sf_dir), _weighted(spark, sf_dir).drop("n_patents", "n_texts_used"))
+    return similarity.both(_years(spark, sf_dir))
+
+
+def similarity_outer_join(spark, sf_dir) -> DataFrame:
+    """The full join of two tables that lack a year each."""
+    simple = _simple(spark, sf_dir).where("p_year <> 1997")
+    return rounded(similarity.merged(simple, _weighted(spark, sf_dir).where("p_year <> 1998").drop("n_patents", "n_texts_used")))
 
 
 def _prepared(spark, sf_dir) -> DataFrame:
@@ -157,6 +163,7 @@ def _report(spark, sf_dir) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similarity_merged": lambda s, d: rounded(_merged(s, d)),
+    "similarity_outer_join": similarity_outer_join,
     "clean_type_prefix_filter": clean_type_prefix_filter,
     "profile_missing": lambda s, d: clean.missing_profile(P.documents(s, d).select("stkcd", "p_year", "p_id", "p_date", "p_tt", "p_abs", "p_cite", "p_type")),
     "profile_tabulate": lambda s, d: rounded(clean.tabulated(P.documents(s, d), "p_type")),
@@ -220,6 +227,7 @@ _PROFILE = ("stkcd", "p_year", "p_id", "p_date", "p_tt", "p_abs", "p_cite", "p_t
 
 ORACLES: dict[str, str] = {
     "similarity_merged": f"{_BOTH} select stkcd, p_year, n_patents, n_texts_used, {', '.join(_R(n) for n in (*NAMES, *(n + '_citw' for n in NAMES)))} from both_w",
+    "similarity_outer_join": f"{_BOTH.replace('from sim_a s full join sim_w w', 'from (select * from sim_a where p_year <> 1997) s full join (select * from sim_w where p_year <> 1998) w')} select stkcd, p_year, n_patents, n_texts_used, {', '.join(_R(n) for n in (*NAMES, *(n + '_citw' for n in NAMES)))} from both_w",
     "clean_type_prefix_filter": CLEAN_SQL,
     "profile_missing": f"with {P.TEXTS_SQL} " + "\nunion all ".join(f"select '{c}' as variable, count(*) filter ({c} is null) as n_missing, count(*) as n_total from texts" for c in _PROFILE),
     "profile_tabulate": f"with {P.TEXTS_SQL} select p_type, count(*) as freq, round(count(*) / sum(count(*)) over (), 6) + 0.0 as share from texts group by p_type",
