@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import short_batches, table
 
 CAPACITY, GROUP, END = 2048, 3_000, 0
+#: Pairs of bins that the local search of one group looks at, at most.
+TRIES = 20_000
 #: Different pieces kept per task at most.
 KEPT = 400_000
 
@@ -182,17 +184,18 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     open_.sort(key=lambda b: fill[b])
     fewest = -(-sum(lengths) // capacity)
     used = sum(f > 0 for f in fill)
-    changed = True
-    while changed and used > fewest:
+    changed, tries = True, 0
+    while changed and used > fewest and tries < TRIES:
         changed = False
         open_ = sorted((b for b in open_ if 0 < fill[b] < capacity), key=lambda b: fill[b])
         for k, low in enumerate(open_):
             for other in reversed(open_[k + 1 :]):
                 room = capacity - fill[other]
-                if fill[low] == 0:
+                if fill[low] == 0 or tries >= TRIES:
                     break
                 if room <= 0 or fill[other] < fill[low]:
                     continue
+                tries += 1
                 best = _exchange(bins[low], bins[other], lengths, room)
                 if best:
                     give, take = best
