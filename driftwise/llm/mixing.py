@@ -37,7 +37,8 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     ``temperature``. Marginals without tokens keep their weights.
     """
     spark = cells.sparkSession
-    now = Stored(cells.withColumn("w", F.lit(1.0)))
+    now = Stored(cells.withColumn("w", F.lit(1.0)), cells=F.count(F.lit(1)))
+    n_cells = now.seen["cells"]
     total = now.df.agg(F.sum("n").alias("total"))
     goals = []
     for d in dims:
@@ -55,7 +56,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             have = df.groupBy(d).agg(F.sum(F.col("n") * F.col("w")).alias("have"))
             step = have.join(goal.df, d).select(d, F.expr("case when have > 0 then goal / have else 1d end").alias("f"))
             df = df.join(step, d).select(*dims, "n", (F.col("w") * F.col("f")).alias("w"))
-        then = Stored(df)
+        then = Stored(df, n_cells)
         now.drop()
         now = then
     for goal in goals:
