@@ -10,7 +10,8 @@ document with a smaller id. Only suffixes that can match are ever sorted:
    partially aggregated minimum and maximum of ids per anchor.
 2. A stretch is the run of a document's windows with one anchor. Stretches equal
    to one of an earlier document are repeats as a whole (a second partially
-   aggregated minimum). Of each different stretch the first copy remains.
+   aggregated minimum). Of each different stretch the first copy remains;
+   what is found in it holds for the copies in its own document, too.
 3. The remaining stretches of an anchor differ. Their bytes are fetched and
    dealt out by anchor, where suffixes at the windows' starts are sorted.
    With adjacent longest common prefixes, the nearest suffixes before and after
@@ -197,7 +198,7 @@ def repeats(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
 
 
 def _lpf(group: pa.Table) -> pa.Table:
-    ids, at = np.array(group.column("id")), np.array(group.column("at"))
+    anchor, ids, at = (np.array(group.column(c)) for c in ("anchor", "id", "at"))
     flat, offsets = _flat(group.column("raw"))
     of, starts, hit = repeats(flat, offsets, ids)
     of, starts = of[hit], starts[hit]
@@ -207,20 +208,21 @@ def _lpf(group: pa.Table) -> pa.Table:
     size = np.diff(np.r_[first, len(of)]) + LENGTH - 1
     k, begin = of[first], starts[first]
     own = prints(prefix(flat), begin, size).view(np.int64)
-    return pa.table({"id": pa.array(ids[k]), "start": pa.array(at[k] // 64 + begin - offsets[k]), "size": pa.array(size.astype(np.int64)), "own": pa.array(own)})
+    return pa.table({"anchor": pa.array(anchor[k]), "id": pa.array(ids[k]), "at": pa.array(at[k]), "start": pa.array(at[k] // 64 + begin - offsets[k]), "size": pa.array(size.astype(np.int64)), "own": pa.array(own)})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, len(batch), 4096):
             some = batch.slice(a, 4096)
-            ids, at = np.array(some.column("id")), np.array(some.column("at"))
+            anchor, ids, at = (np.array(some.column(c)) for c in ("anchor", "id", "at"))
             flat, offsets = _flat(some.column("raw"))
             count = np.maximum(0, np.diff(offsets) - LENGTH + 1)
             of, starts = np.repeat(np.arange(len(count)), count), _ranges(offsets[:-1], count)
             size = np.full(len(starts), LENGTH)
             own = prints(prefix(flat), starts, size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([_binary(flat, starts, size), pa.array(ids[of]), pa.array(at[of] // 64 + starts - offsets[of]), pa.array(own)], names=["w", "id", "start", "own"])
+            columns = [_binary(flat, starts, size), pa.array(anchor[of]), pa.array(ids[of]), pa.array(at[of]), pa.array(at[of] // 64 + starts - offsets[of]), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "anchor", "id", "at", "start", "own"])
 
 
 def _covered(text: bytes, found: pa.Scalar) -> np.ndarray:
@@ -279,8 +281,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shared.drop()
     release(texts.sparkSession)
     firsts = Stored(hits.df.groupBy("anchor", "own").agg(F.min(F.struct("id", "at")).alias("f")))
-    whole = hits.df.join(firsts.df.select("anchor", "own", F.col("f.id").alias("lo")), ["anchor", "own"]).where("id > lo").select("id", F.expr("at div 64").alias("start"), F.expr(f"at % 64 + {LENGTH - 1}").alias("size"), "own").distinct()
-    whole = Stored(whole)
+    first = firsts.df.select("anchor", "own", F.col("f.id").alias("lo"), F.col("f.at").alias("first"))
+    # repeats of an earlier document's stretch; with anchor and first place, those of a stretch of the same document
+    copies = hits.df.join(first, ["anchor", "own"]).where("id > lo or at <> first")
+    copies = Stored(copies.select("id", "at", "own", F.expr("case when id = lo then anchor end as anchor"), F.expr("case when id = lo then first end as first")).distinct())
     hits.drop()
     many = firsts.df.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     left = firsts.df.join(many, "anchor").select("anchor", F.col("f.id").alias("id"), F.struct(F.col("f.at").alias("at"), "anchor", (F.col("m") > CROWD).alias("crowd")).alias("run"))
@@ -290,12 +294,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     release(texts.sparkSession)
     n = pieces.df.count()
     buckets = max(1, -(-n // DEALT))
-    dealt = pieces.df.where("not crowd").select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "id", "at", "raw")
-    parts = dealt.groupBy("bucket").applyInArrow(_lpf, "id long, start long, size long, own long")
-    windows = pieces.df.where("crowd").select("id", "at", "raw").mapInArrow(_windows, "w binary, id long, start long, own long")
+    dealt = pieces.df.where("not crowd").select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "id", "at", "raw")
+    parts = dealt.groupBy("bucket").applyInArrow(_lpf, "anchor long, id long, at long, start long, size long, own long")
+    windows = pieces.df.where("crowd").select("anchor", "id", "at", "raw").mapInArrow(_windows, "w binary, anchor long, id long, at long, start long, own long")
     lows = windows.groupBy("w").agg(F.min("id").alias("lo"))
-    crowded = windows.join(lows, "w").where("id > lo").select("id", "start", F.lit(LENGTH).cast("long").alias("size"), "own")
-    return whole.df.unionByName(parts).unionByName(crowded)
+    crowded = windows.join(lows, "w").where("id > lo").select("anchor", "id", "at", "start", F.lit(LENGTH).cast("long").alias("size"), "own")
+    found = Stored(parts.unionByName(crowded))
+    pieces.drop()
+    release(texts.sparkSession)
+    again = copies.df.where("anchor is not null").select("anchor", "id", F.col("first").alias("at"), F.expr("at div 64 - first div 64").alias("shift")).distinct()
+    moved = found.df.join(again, ["anchor", "id", "at"]).select("id", (F.col("start") + F.col("shift")).alias("start"), "size", "own")
+    whole = copies.df.where("anchor is null").select("id", F.expr("at div 64").alias("start"), F.expr(f"at % 64 + {LENGTH - 1}").alias("size"), "own")
+    return whole.unionByName(found.df.select("id", "start", "size", "own")).unionByName(moved)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

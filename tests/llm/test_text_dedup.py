@@ -123,6 +123,19 @@ def test_cut_equals_brute_force(spark, monkeypatch, crowd):
     assert got == brute_cut(texts)
 
 
+@pytest.mark.parametrize("crowd", [4000, 1])
+def test_cut_all_copies_within_a_document(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = []
+    for k, size in enumerate([52, 60, 150]):
+        p, x, y = some(size), some(40), some(40)
+        texts += [(10 * k + 3, y + p), (10 * k + 5, (x + p) * 20), (10 * k + 6, some(9) + x + p + some(9)), (10 * k + 7, x + p + y + p + x + p)]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(docs_of(spark, texts)).collect()}
+    assert got == brute_cut(texts)
+
+
 def test_cut_rows_that_share_an_id(spark):
     a, b = "x" * 30 + "0123456789" * 8, "y" * 30 + "0123456789" * 8
     rows = [(1, a), (1, b), (1, a), (2, "z" * 10 + b), (None, b)]
