@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from .shared import short_batches, table
 
 CAPACITY, GROUP, END = 2048, 3_000, 0
-#: Pairs of bins that the local search of one group looks at, at most.
-TRIES = 20_000
 #: Different pieces kept per task at most.
 KEPT = 400_000
 
@@ -170,6 +168,49 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Partners:
+    """Which bins a bin can exchange documents with, by tables of the sums that bins can give back.
+
+    ``below[v, b]`` is the greatest sum under v of none, one or two documents of
+    bin b, ``single[v, b]`` that of one document. A document of length a fits in
+    place of what sums to s if a - room <= s < a, so one row of a table answers
+    for all bins at once.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths = bins, lengths
+        self.below = np.full((capacity + 1, len(bins)), -capacity - 1, np.int32)
+        self.single = self.below.copy()
+        for b in range(len(bins)):
+            self.put(b)
+
+    def put(self, b: int) -> None:
+        """Takes note of what is in bin b."""
+        top = len(self.below)
+        own = np.array([self.lengths[i] for i in self.bins[b]], np.int64)
+        different, times = np.unique(own, return_counts=True)
+        at, to = np.triu_indices(len(different))
+        two = (different[at] + different[to])[(at != to) | (times[at] > 1)]
+        for table, sums in ((self.single, different), (self.below, np.r_[0, different, two])):
+            reached = np.full(top, -top, np.int32)
+            sums = sums[sums < top - 1]
+            reached[sums + 1] = sums
+            table[:, b] = np.maximum.accumulate(reached)
+
+    def of(self, low: int, others: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """For each of ``others``, with so much room: whether some exchange with bin ``low`` fills it further."""
+        own = np.array([self.lengths[i] for i in self.bins[low]], np.int64)
+        different, times = np.unique(own, return_counts=True)
+        at, to = np.triu_indices(len(different))
+        two = np.unique((different[at] + different[to])[(at != to) | (times[at] > 1)])
+        fits = np.zeros(len(others), bool)
+        for a in different:
+            fits |= a - self.below[a, others] <= room
+        for a in two:
+            fits |= a - self.single[a, others] <= room
+        return fits
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Moves and swaps between underfull bins, each raising the sum of squared fills.
 
@@ -180,37 +221,55 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     ends when a pass finds none, or when no packing can have fewer bins.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = [b for b in range(len(bins)) if fill[b] < capacity]
-    open_.sort(key=lambda b: fill[b])
     fewest = -(-sum(lengths) // capacity)
     used = sum(f > 0 for f in fill)
-    changed, tries = True, 0
-    while changed and used > fewest and tries < TRIES:
+    if used <= fewest:
+        return [b for b in bins if b]
+    full = [b for b, f in zip(bins, fill, strict=True) if f >= capacity]
+    bins = [b for b, f in zip(bins, fill, strict=True) if 0 < f < capacity]
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    used = len(full) + len(bins)
+    partners = Partners(bins, lengths, capacity)
+    changed = True
+    while changed and used > fewest:
         changed = False
-        open_ = sorted((b for b in open_ if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for k, low in enumerate(open_):
-            for other in reversed(open_[k + 1 :]):
-                room = capacity - fill[other]
-                if fill[low] == 0 or tries >= TRIES:
+        open_ = np.flatnonzero((fill > 0) & (fill < capacity))
+        open_ = open_[np.argsort(fill[open_], kind="stable")]
+        for k, low in enumerate(open_.tolist()):
+            others = open_[k + 1 :][::-1]
+            while len(others) and fill[low]:
+                room = capacity - fill[others]
+                able = np.flatnonzero(partners.of(low, others, room) & (room > 0) & (fill[others] >= fill[low]))
+                if not len(able):
                     break
-                if room <= 0 or fill[other] < fill[low]:
-                    continue
-                tries += 1
-                best = _exchange(bins[low], bins[other], lengths, room)
-                if best:
-                    give, take = best
-                    gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    for i in give:
-                        bins[low].remove(i)
-                    for i in take:
-                        bins[other].remove(i)
-                    bins[low] += take
-                    bins[other] += give
-                    fill[low] -= gain
-                    fill[other] += gain
-                    used -= fill[low] == 0
-                    changed = True
-    return [b for b in bins if b]
+                other = int(others[able[0]])
+                others = others[able[0] + 1 :]
+                give, take = _exchange(_few(bins[low], lengths), _few(bins[other], lengths), lengths, int(capacity - fill[other]))
+                gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
+                for i in give:
+                    bins[low].remove(i)
+                for i in take:
+                    bins[other].remove(i)
+                bins[low] += take
+                bins[other] += give
+                fill[low] -= gain
+                fill[other] += gain
+                partners.put(low)
+                partners.put(other)
+                used -= int(fill[low] == 0)
+                changed = True
+    return full + [b for b in bins if b]
+
+
+def _few(members: list[int], lengths: list[int]) -> list[int]:
+    """At most two documents of each length: an exchange takes no more of one bin."""
+    seen: dict[int, int] = {}
+    out = []
+    for i in members:
+        seen[lengths[i]] = seen.get(lengths[i], 0) + 1
+        if seen[lengths[i]] <= 2:
+            out.append(i)
+    return out
 
 
 def _exchange(low: list[int], high: list[int], lengths: list[int], room: int):

@@ -91,6 +91,17 @@ def test_swaps_empty_bins():
     assert give == [0] and sorted(take) == [1, 2]
 
 
+def test_search_ends_only_when_no_exchange_is_left():
+    rng = random.Random(6)
+    lengths = [rng.randint(450, 800) for _ in range(900)]
+    bins = packing.pack(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(900)) and len(bins) < len(packing.best_fit(lengths, 2048))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= 2048
+    by = sorted((b for b in range(len(bins)) if fill[b] < 2048), key=lambda b: fill[b])
+    assert not any(packing._exchange(bins[x], bins[y], lengths, 2048 - fill[y]) for k, x in enumerate(by) for y in by[k + 1 :])
+
+
 def test_packed_documents(spark, tokenizer):
     rng = random.Random(2)
     texts = [(k, " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.choice([3, 40, 300, 5000])))) for k in range(60)] + [(60, None), (61, ""), (62, "x"), (62, "x"), (None, "y")]
