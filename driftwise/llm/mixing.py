@@ -2,9 +2,12 @@
 
 Documents are summed to cells of (source, language, topic); raking scales the
 cells' token weights to one marginal after another until all agree with the
-targets. A document's probability is its cell's weight over the largest weight,
-so every cell is sampled in proportion to its calibrated weight and none needs
-repeating; a document is taken when a hash of its id falls below that.
+targets. A document's probability is its cell's weight over a cut, 1 at most; it
+is taken when a hash of its id falls below that. The cut is the largest weight,
+where that leaves at least ``SHARE`` of the tokens to be expected. Else it is the
+one that leaves just that many, and cells with larger weights, which would need
+repeating, are taken whole; so a tiny cell does not shrink all others. The query
+op6 follows its SQL, where the cut is the largest weight always.
 
 Only DataFrame functions are used. The cells are partially aggregated before
 they are dealt out, so a source with a third of all rows costs one row per task
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import Stored, table
 
-ROUNDS, TEMPERATURE = 8, 0.7
+ROUNDS, TEMPERATURE, SHARE = 8, 0.7, 0.5
 DIMS = ("source", "lang", "topic")
 #: ``documents`` names no topic; the form of a text stands in for it.
 TOPIC_SQL = "case when {t} like '%|%' then 'table' when {n} >= 4000 then 'long' else 'short' end"
@@ -64,18 +67,37 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return now.df
 
 
+def cut_of(cells: DataFrame, share: float) -> float | None:
+    """The weight from which on cells are taken whole; None without tokens.
+
+    With it, sum(n * min(1, w / cut)) is ``share`` of the tokens of cells that have
+    a weight, or more if the largest weight as the cut gives more. Every round
+    lowers the cut by what the cells found whole so far leave to the others.
+    """
+    cells = cells.where("n > 0 and w > 0")
+    top, total = cells.agg(F.max("w"), F.sum("n")).first()
+    cut = top
+    while cut is not None:
+        whole, rest = cells.agg(*(F.coalesce(F.sum(F.when(c, v)), F.lit(0.0)) for c, v in ((F.col("w") >= cut, F.col("n")), (F.col("w") < cut, F.col("n") * F.col("w"))))).first()
+        if not rest or whole + rest / cut >= share * total * (1 - 1e-9):
+            break
+        cut = rest / (share * total - whole)
+    return cut
+
+
 def uniform(id_: F.Column) -> F.Column:
     """A number in [0, 1) that depends on the id alone."""
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(16.0**13)
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, share: float | None = SHARE) -> DataFrame:
     """All rows and columns of ``docs`` with _tokens, _weight, _probability and _sampled, and the dims as _source, _lang, _topic.
 
     Tokens are counted as a quarter of the text's bytes, rounded up; null and
     empty texts have none. A null source, language or topic is a value of its
     own. Rows that repeat an id share its fate; an empty table stays empty, and
-    if no document has tokens every one is taken.
+    if no document has tokens every one is taken. ``share`` is the part of the
+    tokens to expect at least; with None the cut is the largest weight.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0))
     form = F.expr(TOPIC_SQL.format(t=f"coalesce(`{text}`, '')", n=f"coalesce(octet_length(`{text}`), 0)"))
@@ -85,6 +107,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, i
     renamed = {f"_{d}": goal for d, goal in (targets or {}).items()}
     cells = raked(cells_of(rows, dims, "_tokens"), renamed, dims)
     top = cells.where("n > 0").agg(F.max("w").alias("top"))
+    if share is not None:
+        top = top.select(F.lit(cut_of(cells, share)).cast("double").alias("top"))
     calibrated = cells.join(F.broadcast(top)).select(*dims, F.col("w").alias("_weight"), F.expr("case when top > 0 then least(1d, w / top) else 1d end").alias("_probability"))
     return rows.join(calibrated, list(dims)).withColumn("_sampled", uniform(F.col(id_col)) < F.col("_probability"))
 
@@ -97,7 +121,7 @@ def sample_mix(docs: DataFrame, **options) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its cell, tokens, calibrated weight and probability, and whether it is sampled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed(docs).select(
+    return mixed(docs, share=None).select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
         F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
     )

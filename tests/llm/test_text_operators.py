@@ -269,6 +269,28 @@ def test_raking_meets_targets(spark):
     assert mixing.sample_mix(df).columns == df.columns
 
 
+def test_a_stray_row_does_not_empty_the_mix(spark):
+    rows = [(k, "x" * (400 + k % 9), "ab"[k % 3 == 0], ["en", "fr"][k % 5 == 0]) for k in range(3000)]
+    kept = []
+    for stray in ([], [(9000, "x" * 12, None, "en")], [(9000, "x" * 12, None, None)]):
+        out = mixing.mixed(spark.createDataFrame(rows + stray, "doc_id long, text string, source string, lang string"))
+        expected, total = out.agg(F.sum(F.col("_tokens") * F.col("_probability")), F.sum("_tokens")).first()
+        assert expected >= (mixing.SHARE - 1e-6) * total
+        kept.append(out.where("_sampled").count() / 3000)
+    assert min(kept) >= 0.45, kept
+
+
+def test_cut_leaves_the_share_asked_for(spark):
+    rng = random.Random(3)
+    cells = [(float(rng.randint(0, 1000)), rng.choice([0.0, 0.2, 1.0, 3.0, 900.0]) * rng.random()) for _ in range(60)]
+    df = spark.createDataFrame(cells, "n double, w double")
+    for share in (0.01, 0.3, 0.5, 0.9, 1.0):
+        cut = mixing.cut_of(df, share)
+        total, top = sum(n for n, w in cells if w > 0), max(w for n, w in cells if n)
+        left = lambda c: sum(n * min(1, w / c) for n, w in cells)
+        assert left(cut) == pytest.approx(max(share * total, left(top)), rel=1e-6) and cut <= top
+
+
 def test_mixing_without_tokens(spark):
     df = spark.createDataFrame([(1, None, None, None), (None, "", "s", "en"), (1, None, None, None)], "doc_id long, text string, source string, lang string")
     assert mixing.mixed(df).count() == 3
