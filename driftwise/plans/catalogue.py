@@ -126,7 +126,7 @@ def trajectories(spark, sf_dir) -> DataFrame:
 
 
 def _self_docs(spark, sf_dir) -> DataFrame:
-    docs = P.embedded(spark, sf_dir, "a").where(F.col("p_id") < P.SELF)
+    docs = P.embedded(spark, sf_dir, "a")
     return docs.select("stkcd", "p_year", "p_id", F.make_date("p_year", F.lit(1), F.lit(1)).alias("date"), F.col("e_a").alias("embedding"))
 
 
