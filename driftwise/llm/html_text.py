@@ -29,6 +29,8 @@ from .shared import short_batches, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup and no text of the page.
 RAW = frozenset("script style noscript template iframe svg math object canvas".split())
+#: Of these, those whose content is text, so that none stands in another of its name and a slash at the end of the tag closes nothing.
+TEXT_ONLY = frozenset("script style noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split()
@@ -40,21 +42,114 @@ CLOSES_P = BLOCK - {"body", "head", "html", "title", "option", "optgroup", "capt
 WALLS = frozenset("table ul ol dl article section div main body td th blockquote".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|$)|(?P<text>(?:[^<]|<(?![a-zA-Z/!?]))+)",
+    r"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|$)|(?P<text>(?:[^<]+|<(?![a-zA-Z/!?]))++)",
     re.S,
 )
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
-def tokens(page: str) -> Iterator[tuple[str, object, tuple[str, ...], bool]]:
-    """(kind, value, places, block edge): kind is 'tag' (value: its marks) or 'text' (value: decoded text).
+class Place:
+    """Where a token stands: an open element, the one around it, and the evidence of the marks of both.
 
-    places: the marks of all open elements, outermost first. A mark is a tag's
-    name, or a word of its class, id or role after a dot.
+    ``z`` is the sum over the path's different marks of the weights of ``Weights``, so it is found once per element.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    places: tuple[str, ...] = ()
+
+    __slots__ = ("around", "name", "marks", "z", "p")
+
+    def __init__(self, around: Place | None, name: str, marks: tuple[str, ...], z: float):
+        self.around, self.name, self.marks, self.z, self.p = around, name, marks, z, None
+
+    def path(self) -> tuple[str, ...]:
+        """The marks of all open elements, outermost first."""
+        own: list[tuple[str, ...]] = []
+        at: Place | None = self
+        while at is not None:
+            own.append(at.marks)
+            at = at.around
+        return tuple(m for marks in reversed(own) for m in marks)
+
+
+class Open:
+    """The open elements. Every step costs the same at any depth: positions by name and of walls are kept."""
+
+    def __init__(self, weight: dict[str, float] | None = None, bias: float = 0.0):
+        self.weight = weight or {}
+        self.stack: list[Place] = [Place(None, "", (), bias)]
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.held: dict[str, int] = {}
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        top, z = self.stack[-1], self.stack[-1].z
+        for m in marks:
+            k = self.held.get(m, 0)
+            if not k:
+                z += self.weight.get(m, 0.0)
+            self.held[m] = k + 1
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append(Place(top, name, marks, z))
+
+    def cut(self, position: int) -> None:
+        """Ends the element at a position and all within it."""
+        while len(self.stack) > position:
+            gone = self.stack.pop()
+            self.at[gone.name].pop()
+            if gone.name in WALLS:
+                self.walls.pop()
+            for m in gone.marks:
+                self.held[m] -= 1
+
+    def last(self, names) -> int:
+        """The innermost position of an open element of these names, 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+
+class Raw:
+    """Where the content of ``RAW`` elements of a page ends."""
+
+    def __init__(self, page: str):
+        self.page, self.last_end = page, {}
+
+    def end(self, at: int, name: str, closed: bool) -> int:
+        """For an element that opens before ``at``; ``closed``: its tag ends in a slash."""
+        if closed and name not in TEXT_ONLY:
+            return at
+        if name not in self.last_end:
+            self.last_end[name] = max((m.start() for m in re.finditer(rf"</{name}[\s/>]", self.page, re.I)), default=-1)
+        if self.last_end[name] < at:
+            # a text runs to the end of the page; of others the tag alone is left out, so no text is lost
+            return len(self.page) if name in TEXT_ONLY and not closed else at
+        if name in TEXT_ONLY:
+            return _tag_end(self.page, re.compile(rf"</{name}[\s/>]", re.I).search(self.page, at).end())
+        depth, first = 1, at
+        for tag in re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>", re.I).finditer(self.page, at):
+            if tag[1]:
+                depth -= 1
+                first = tag.end() if first == at else first
+                if not depth:
+                    return tag.end()
+            elif not tag[0].endswith("/>"):
+                depth += 1
+        return first  # out of balance: up to the first end tag
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Behind the ``>`` that ends an end tag whose name and one character more are read."""
+    if page[at - 1] == ">":
+        return at
+    end = page.find(">", at)
+    return len(page) if end < 0 else end + 1
+
+
+def tokens(page: str, weight: dict[str, float] | None = None, bias: float = 0.0) -> Iterator[tuple[str, object, Place, bool]]:
+    """(kind, value, place, block edge): kind is 'tag' (value: its marks) or 'text' (value: decoded text).
+
+    A mark is a tag's name, or a word of its class, id or role after a dot.
+    """
+    now, raw = Open(weight, bias), Raw(page)
     at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -63,38 +158,31 @@ def tokens(page: str) -> Iterator[tuple[str, object, tuple[str, ...], bool]]:
             continue
         at = m.end()
         if m["text"] is not None:
-            yield "text", entities.unescape(m["text"]), places, False
+            yield "text", entities.unescape(m["text"]), now.stack[-1], False
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["close"]:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-                places = tuple(x for _, own in stack for x in own)
-            yield "tag", ("/" + name,), places, name in BLOCK
+            if now.at.get(name):
+                now.cut(now.at[name][-1])
+            yield "tag", ("/" + name,), now.stack[-1], name in BLOCK
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            yield "tag", (name,), places, False
+            at = raw.end(at, name, m["attrs"].endswith("/"))
+            yield "tag", (name,), now.stack[-1], False
             continue
         ends = ENDS.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                break
-            if stack[k][0] in WALLS:
-                break
+        inner = now.last(ends)
+        if inner and inner >= (now.walls[-1] if now.walls else 0):
+            now.cut(inner)
         marks = [name]
         if m["attrs"]:
             for values in _ATTR.findall(m["attrs"]):
                 marks += ["." + w for w in _NAME.findall("".join(values).lower())]
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append((name, tuple(marks)))
-        places = tuple(x for _, own in stack for x in own)
-        yield "tag", tuple(marks), places, name in BLOCK
+            now.push(name, tuple(marks))
+        yield "tag", tuple(marks), now.stack[-1], name in BLOCK
 
 
 # Labelled pages: parts of pages, those of the article marked, laid out in several ways.
@@ -144,17 +232,17 @@ class Weights:
         rows: list[tuple[tuple[str, ...], int, bool]] = []
         # pages in which a mark stands inside an article, and in which it stands at all
         inside, seen = defaultdict(set), defaultdict(set)
-        for number, page in enumerate( pages if pages is not None else labelled_pages()):
+        for number, page in enumerate(pages if pages is not None else labelled_pages()):
             # each part is marked by an attribute-free pair of characters that no part holds
             text = "".join(f"\x02{int(own)}{part}" for part, own in page)
             own = False
-            for kind, value, places, _ in tokens(text):
+            for kind, value, place, _ in tokens(text):
                 if kind == "text":
                     for k, piece in enumerate(re.split("\x02([01])", value)):
                         if k % 2:
                             own = piece == "1"
                         elif piece.split():
-                            rows.append((tuple(dict.fromkeys(places)), len(piece.split()), own))
+                            rows.append((tuple(dict.fromkeys(place.path())), len(piece.split()), own))
                 else:
                     for mark in value:
                         seen[mark].add(number)
@@ -180,18 +268,16 @@ class Weights:
         self.bias = float(bias)
         #: cost of a tag: more for tags that stand outside articles
         self.tag = {m: -(0.01 + 0.2 * (1 - share[m]) ** 2) for m in seen}
-        self.known: dict[tuple[str, ...], float] = {}
-
-    def likely(self, places: tuple[str, ...]) -> float:
-        """Probability that words at these places belong to an article."""
-        p = self.known.get(places)
-        if p is None:
-            z = self.bias + sum(self.place.get(m, 0.0) for m in dict.fromkeys(places))
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[places] = p
-        return p
+
+    def tokens(self, page: str) -> list[tuple[str, object, Place, bool]]:
+        return list(tokens(page, self.place, self.bias))
+
+    @staticmethod
+    def likely(place: Place) -> float:
+        """Probability that words at this place belong to an article."""
+        if place.p is None:
+            place.p = 1 / (1 + math.exp(-max(-30.0, min(30.0, place.z))))
+        return place.p
 
     def cost(self, marks: tuple[str, ...]) -> float:
         return min((self.tag.get(m, -0.05) for m in marks), default=-0.05)
@@ -219,8 +305,8 @@ def extract(page: str | None, w: Weights | None = None) -> str:
     w = w or weights()
     if not page:
         return ""
-    parts = list(tokens(page))
-    scores = [len(v.split()) * w.likely(places) if kind == "text" else w.cost(v) for kind, v, places, _ in parts]
+    parts = w.tokens(page)
+    scores = [len(v.split()) * w.likely(place) if kind == "text" else w.cost(v) for kind, v, place, _ in parts]
     start, end = best_region(scores)
     blocks: list[str] = []
     line: list[str] = []
@@ -231,13 +317,13 @@ def extract(page: str | None, w: Weights | None = None) -> str:
             blocks.append(text)
         line.clear()
 
-    for kind, value, places, edge in parts[start:end]:
+    for kind, value, place, edge in parts[start:end]:
         if kind == "text":
-            if w.likely(places) >= 0.5:
+            if w.likely(place) >= 0.5:
                 line.append(value)
         elif edge:
             flush()
-        elif value[0] in ("br", "td", "th", "/td", "/th", "img"):
+        elif value[0] in ("br", "td", "th", "/td", "/th"):
             line.append(" ")
     flush()
     return "\n".join(blocks)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -236,6 +237,53 @@ def test_best_region(scores):
     assert sum(scores[a:b]) == best
 
 
+AROUND = "<article><p>First paragraph with words enough to count here.</p>%s<p>Second paragraph with words enough to count here.</p></article>"
+
+
+@pytest.mark.parametrize("amid", [
+    "<svg class='icon'/>", "<object data='x'/>", "<svg><svg></svg>no</svg>", "<script src=x />", "<svg>", "<template><template>a</template>b</template>", "<object><object>a</object>b",
+    "<SVG><path d='M0'/></SVG>", "<script>a < b</script >", "<style>p{}</style\n>", "<canvas/><math/>", "<!-- <p>no</p> -->",
+])
+def test_raw_elements_take_no_text_with_them(amid):
+    want = "First paragraph with words enough to count here.\nSecond paragraph with words enough to count here."
+    got = html_text.extract(AROUND % amid)
+    assert got.split("\n")[0] + "\n" + got.split("\n")[-1] == want
+
+
+def test_inline_elements_add_no_space():
+    assert html_text.extract(AROUND % "<p>foo<img>bar <b>b</b>old</p>").split("\n")[1] == "foobar bold"
+
+
+@pytest.mark.parametrize("piece", ["<span>x ", "<div class=a>x ", "<li><ul>x ", "<svg>", "<svg/>", "</x>", '<a b=">', "<script/>"])
+def test_pages_of_any_depth_are_read_in_linear_time(piece):
+    start = time.time()
+    html_text.extract("<p><td>" + piece * 100_000 + "<hr>" * 20_000)
+    assert time.time() - start < 5
+
+
+def test_the_region_of_whole_pages_is_the_best_of_all(spark, sf_dir):
+    """Every region of a page is tried, and the query's text is that of the best one."""
+    w = html_text.weights()
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect()
+    got = {r.page_id: r.text for r in html_text.op10_html_extraction(spark, sf_dir).collect()}
+    for row in rows:
+        parts = w.tokens(row.html)
+        scores = np.array([len(v.split()) * w.likely(place) if kind == "text" else w.cost(v) for kind, v, place, _ in parts])
+        sums = np.r_[0, np.cumsum(scores)]
+        best = max(float((sums[i:] - sums[i]).max()) for i in range(len(sums)))
+        a, b = html_text.best_region(scores.tolist())
+        assert sums[b] - sums[a] == pytest.approx(best, abs=1e-9)
+        blocks = [[]]
+        for kind, value, place, edge in parts[a:b]:
+            if kind == "text" and w.likely(place) >= 0.5:
+                blocks[-1].append(value)
+            elif edge:
+                blocks.append([])
+            elif kind == "tag" and value[0].strip("/") in ("br", "td", "th"):
+                blocks[-1].append(" ")
+        assert got[row.page_id] == "\n".join(x for x in (" ".join("".join(y).split()) for y in blocks) if x)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.n_chars == len(r.text)) for r in html_text.extract_pages(df).collect())
