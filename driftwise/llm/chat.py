@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import short_batches, table
+from .shared import sliced, table
 
 PART = 1024
 OPEN, CLOSE, END = b"<|", b"|>\n", b"<|end|>\n"
@@ -95,17 +95,15 @@ def assemble(roles: pa.Array, texts: pa.Array, conversation: np.ndarray) -> tupl
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of conversations in order; a conversation goes on in the next part if a batch ends within it."""
     last, part = None, 0
-    for batch in batches:
-        for start in range(0, len(batch), PART):
-            some = batch.slice(start, PART)
-            ids = np.array(some.column("id"))
-            strings, spans, first = assemble(some.column("role"), some.column("text"), ids)
-            parts = []
-            for k in first:
-                part = part + 1 if ids[k] == last else 0
-                last = ids[k]
-                parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(parts, pa.int64()), strings, pa.array(spans, pa.list_(pa.int64()))], names=["id", "part", "formatted", "loss"])
+    for some in sliced(batches, PART):
+        ids = np.array(some.column("id"))
+        strings, spans, first = assemble(some.column("role"), some.column("text"), ids)
+        parts = []
+        for k in first:
+            part = part + 1 if ids[k] == last else 0
+            last = ids[k]
+            parts.append(part)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(parts, pa.int64()), strings, pa.array(spans, pa.list_(pa.int64()))], names=["id", "part", "formatted", "loss"])
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -127,7 +125,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, n, turns.hexdigest(), chars, loss.hexdigest(), size), kinds, strict=True)], names=names)
 
     done: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in sliced(batches):
         for row in range(len(batch)):
             id_, formatted, loss = batch.column("id")[row].as_py(), batch.column("formatted")[row].as_py(), batch.column("loss")[row].as_py()
             if id_ != now:
@@ -157,7 +155,6 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     null turns come first. A null role or text is empty, and rows without a
     conversation id are left out. Other columns are not read.
     """
-    short_batches(turns.sparkSession)
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     dealt = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     return dealt.mapInArrow(_format, "id long, part long, formatted string, loss array<long>")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, short_batches, stored, table
+from .shared import connected_components, sliced, stored, table
 
 TABLES, BLOCKS, PROBES, SCALE, SEED = 4, 2, 24, 0.68, 2011
 
@@ -130,7 +130,7 @@ def usable(vector: str = "embedding", label: str | None = "label") -> F.Column:
 
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         widths = np.array(batch.column("width"))
         for width in np.unique(widths):
             part = batch.filter(pa.array(widths == width))
@@ -151,7 +151,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             same = np.array(batch.column("wa")) == np.array(batch.column("wb"))
             part = batch.filter(pa.array(same))
             keep = np.zeros(len(part), bool)
@@ -176,8 +176,6 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_
     or non-finite components are in neither. Vectors of different widths never
     link. Other columns of ``vectors`` are not read.
     """
-    spark = vectors.sparkSession
-    short_batches(spark, 2048)
     good = vectors.where(usable(vector, label)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     keyed = good.withColumn("h", F.xxhash64("v"))
     sums = keyed.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

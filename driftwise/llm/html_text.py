@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import short_batches, table
+from .shared import sliced, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup and no text of the page.
@@ -331,7 +331,7 @@ def extract(page: str | None, w: Weights | None = None) -> str:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w = weights()
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [extract(h, w) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.large_string()).cast(pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -344,7 +344,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", h
 
     Repeated rows and null ids pass through; other columns are not read.
     """
-    short_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .embedding_dedup import _matrix, usable
-from .shared import short_batches, stored, table
+from .shared import sliced, stored, table
 
 TREES, LEAF, MAX_DEPTH, SAMPLE, SEED = 4, 128, 6, 20_000, 4242
 #: Share of the rows (counted in every tree) among which a query looks; see the README for the recall.
@@ -90,7 +90,7 @@ def _index(forest: Forest, parts: int, asked: int):
     """The indexed vectors under tree, leaf and part, once for each part of the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             batch = batch.filter(pa.array(np.array(batch.column("width")) == forest.width))
             if not len(batch):
                 continue
@@ -112,7 +112,7 @@ def _ask(forest: Forest, share: float, parts: int, asked: int):
     """The queries under every tree, leaf and part that they look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             batch = batch.filter(pa.array(np.array(batch.column("width")) == forest.width))
             for start in range(0, len(batch), 64):
                 some = batch.slice(start, 64)
@@ -176,7 +176,6 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, share: float = S
     and an empty table gives none. Other columns are not read.
     """
     spark = vectors.sparkSession
-    short_batches(spark, 2048)
     good = vectors.where(usable(vector, None) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"), is_query.alias("ask")
     )

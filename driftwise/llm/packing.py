@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import short_batches, table
+from .shared import sliced, table
 
 CAPACITY, GROUP, END = 2048, 3_000, 0
 #: Different pieces kept per task at most.
@@ -131,7 +131,7 @@ def _pieces(path: str, capacity: int):
         ids = ids_of(path)
         end = np.array([END], "<u4").tobytes()
         width = 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = ids.of(text or "") + end
@@ -330,8 +330,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     each; a null id stays null. ``capacity`` and the tokenizer's path are
     parameters. An empty table gives no piece.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
     path = tokenizer or default_tokenizer()
     buckets = max(1, math.ceil(docs.count() / group))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))

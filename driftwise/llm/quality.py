@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_of import chunks, word_prints, words
-from .shared import short_batches, table
+from .shared import sliced, table
 
 SAMPLE, LINES, ROUNDS, RATE, L2 = 3_000, 64, 150, 0.15, 1e-3
 FOLDS, THRESHOLD = 5, 0.3
@@ -181,7 +181,7 @@ def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, r
 
 def _featured(lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for a, b, data, offsets in chunks(batch.column("text")):
                 x, size, first = line_features(data, offsets)
                 rows = [x[first[r] : min(first[r + 1], first[r] + lines)].reshape(-1).tolist() for r in range(b - a)]
@@ -193,7 +193,7 @@ def _featured(lines: int):
 
 def _scored(model: Model, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = np.zeros(len(batch))
             for a, b, data, offsets in chunks(batch.column("text")):
                 out[a:b] = model.score(*line_features(data, offsets))
@@ -208,7 +208,6 @@ def fold(id_: F.Column, folds: int = FOLDS) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
     """The model, from labelled documents outside fold 0; None if they don't have both labels."""
-    short_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label).cast("long").alias("label"))
     # the same number of each label, in an order that depends on nothing but the id
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for k in (0, 1)]
@@ -232,7 +231,6 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str], text: str = "t
     A null text counts as empty, and an empty text as one empty line. Without a
     model (no label of one kind) every score is 1.
     """
-    short_batches(docs.sparkSession)
     if model is None:
         return docs.select(*keep, F.lit(1.0).alias("score"))
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -246,12 +244,11 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str], text: str = "t
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose score is at least ``threshold``."""
-    short_batches(docs.sparkSession)
     if model is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = np.zeros(len(batch), bool)
             for a, b, data, offsets in chunks(batch.column(text)):
                 keep[a:b] = model.score(*line_features(data, offsets)) >= threshold

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; texts are long, so batches are kept short.
-BATCH_ROWS = 1024
+#: What a Python worker works on at once at most: rows, and bytes unless a row alone has more.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
+#: Temporary folders of local sessions.
+_OWN: dict[SparkSession, str] = {}
 #: Rows of ids that one task writes without trouble.
 ROWS_A_FILE = 200_000
 
@@ -22,20 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows and about so many bytes, whatever the session's settings; a row is never cut."""
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(1, batch.nbytes)))
+        for start in range(0, len(batch), step):
+            yield batch.slice(start, step)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (local tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session (one machine, as in tests) may go without: it gets a
+    temporary folder. A cluster's session without the setting is an error, since
+    executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark not in _OWN:
         own = tempfile.mkdtemp(prefix="driftwise-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        _OWN[spark] = "file://" + own
+    return _OWN[spark]
 
 
 class Stored:

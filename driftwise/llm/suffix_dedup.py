@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_of import POWERS, _M, chunks, mix, prefix
-from .shared import Stored, release, short_batches, table
+from .shared import Stored, release, sliced, table
 
 LENGTH, GRAM, CROWD, DEALT = 50, 20, 4_000, 20_000
 SPAN = LENGTH - GRAM + 1
@@ -84,7 +84,7 @@ def prints(p: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = np.array(batch.column("id"))
         for first, _, data, offsets in _pieces(batch.column("text")):
             document, _, _, anchor, _ = stretches(data, offsets)
@@ -92,7 +92,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = np.array(batch.column("id"))
         for first, before, data, offsets in _pieces(batch.column("text")):
             document, start, count, anchor, own = stretches(data, offsets)
@@ -121,7 +121,7 @@ def _binary(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         flat, offsets = _flat(batch.column("text").fill_null(""))
         runs = batch.column("runs")
         row = np.repeat(np.arange(len(batch)), np.array(runs.value_lengths().fill_null(0)))
@@ -212,7 +212,7 @@ def _lpf(group: pa.Table) -> pa.Table:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for a in range(0, len(batch), 4096):
             some = batch.slice(a, 4096)
             anchor, ids, at = (np.array(some.column(c)) for c in ("anchor", "id", "at"))
@@ -239,7 +239,7 @@ def _covered(text: bytes, found: pa.Scalar) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").cast(pa.large_binary())
         out: list[tuple] = []
         for row in range(len(batch)):
@@ -255,7 +255,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stripped(names: list[str], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(names[at]).cast(pa.large_binary())
             spans = batch.column("_spans")
             out = []
@@ -316,8 +316,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     nothing and are no source. Rows that share an id never match one another,
     and each is judged by its own text. Other columns are not read.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     spans = repeated_spans(texts.where("id is not null"))
     per = spans.groupBy("id").agg(F.collect_set(F.struct("start", "size", "own")).alias("spans"))
@@ -332,7 +330,6 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     All rows and columns stay, n_chars (if there) is counted anew, and a null
     text stays null.
     """
-    short_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     per = repeated_spans(source).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "size", "own")).alias("_spans"))
     joined = docs.join(per, docs[id_col].cast("long") == per["_id"], "left").select(*docs.columns, "_spans")
