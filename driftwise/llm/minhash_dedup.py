@@ -24,13 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytes_of import mix, shingles
-from .shared import Stored, connected_components, release, short_batches, stored, table
+from .shared import Stored, connected_components, release, sliced, stored, table
 
 SLOTS, BANDS, ROWS, SEED, SIZE = 1 << 20, 24, 6, 77, 5
+#: Least similarity of a link in percent, unless a caller states another.
+PERCENT = 80
+#: Documents of one token that a task joins with as many others.
+SQUARE = 256
 
 
 class Circulant:
@@ -69,7 +73,7 @@ class Circulant:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     circulant = Circulant.get()
-    for batch in batches:
+    for batch in sliced(batches):
         n = len(batch)
         sizes, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         sigs = np.zeros((n, circulant.bands * circulant.rows), np.uint32)
@@ -80,12 +84,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs[row] = circulant.signature(prints)
         names = circulant.bucket_names(sigs).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * circulant.bands), pa.array(names.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["id", "n", "s1", "s2", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["id", "print", "n", "s1", "s2", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of rows whose text is the one that was signed."""
-    for batch in batches:
+    """The sets of rows whose text is the one that was signed for the class."""
+    for batch in sliced(batches):
         want = [np.array(batch.column(c)) for c in ("n", "s1", "s2")]
         rows, found = [], []
         for row, prints in shingles(batch.column("text"), SIZE):
@@ -95,12 +99,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append(prints)
         offsets = np.r_[0, np.cumsum([len(p) for p in found])].astype(np.int32)
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "prints"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "prints"])
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column("pa"), batch.column("pb")
             fa, fb = (np.array(c.flatten()) for c in (a, b))
             oa, ob = (np.r_[0, np.cumsum(np.array(c.value_lengths()))].astype(int) for c in (a, b))
@@ -125,7 +129,9 @@ def prefix_pairs(docs: DataFrame, percent: int) -> DataFrame:
     common token in either set, that token included; so pairs meet on tokens
     among the first that leave enough behind, and on tokens alone of which more
     than one document has any. Of each token, the commonest component is left
-    out on one side, so a large component is never joined with itself.
+    out on one side, so a large component is never joined with itself. A token
+    of more than ``SQUARE`` documents is joined in squares of about so many by
+    so many, each a key of its own, so that no task gets all of them.
     """
     tokens = docs.select("id", "c", F.explode("prints").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
@@ -136,35 +142,45 @@ def prefix_pairs(docs: DataFrame, percent: int) -> DataFrame:
     early = ranked.select("id", "c", n.cast("long").alias("n"), F.posexplode(F.slice("all", 1, reach.cast("int"))).alias("p", "x")).select("id", "c", "n", "p", "x.t", "x.df").where("df > 1").drop("df")
     early = stored(early)
     shares = early.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
-    most = shares.groupBy("t").agg(F.max_by("c", "k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "most")
-    one = early.join(most, "t").where("c <> most").select("t", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
-    two = early.select("t", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
+    most = stored(shares.groupBy("t").agg(F.max_by("c", "k").alias("most"), F.count(F.lit(1)).alias("comps"), F.ceil(F.sum("k") / SQUARE).cast("int").alias("parts")).where("comps > 1").select("t", "most", "parts"))
+    dealt = stored(early.join(most, "t").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    squares = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = dealt.where("c <> most").select("t", F.col("own").alias("i"), squares.alias("j"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    two = dealt.select("t", squares.alias("i"), F.col("own").alias("j"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
     enough = F.expr(f"(100 + {percent}) * least(nx - px, ny - py) >= {percent} * (nx + ny) and cx <> cy")
-    return one.join(two, "t").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return one.join(two, ["t", "i", "j"]).where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component of every document with a non-null id.
+SIGNED = "id long, print long, n long, s1 long, s2 long, buckets array<long>"
 
-    Documents are linked when 100 * |A and B| >= ``percent`` * |A or B| on their
-    sets of distinct 5-word shingles. Null, empty and blank texts have empty
-    sets and link with nothing. Of rows that repeat an id with different texts,
-    the one with the fewest shingles counts, and an id has one row in the result.
-    Other columns are not read.
+
+def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, print (a hash of the text), n_shingles, component, group of every row.
+
+    Texts are linked when 100 * |A and B| >= ``percent`` * |A or B| on their sets
+    of distinct 5-word shingles. component is the smallest id of a row whose text
+    can be reached by links, the row's own included; group is a name that two
+    groups never share, even if they share that id. Every row is judged by its
+    own text: rows that repeat an id are rows each, and their texts need not be
+    in one group. Null, empty and blank texts have empty sets and link with
+    nothing. Rows without an id link with nothing and have a null component.
+    Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    short_batches(spark)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = texts.mapInArrow(_signed, "id long, n long, s1 long, s2 long, buckets array<long>")
-    once = stored(signed.groupBy("id").agg(F.min(F.struct("n", "s1", "s2", "buckets")).alias("s")).select("id", "s.*"))
-    full = once.where("n > 0")
-    first = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    member = stored(full.join(first, ["n", "s1", "s2"]).select("id", "rep", "n", "s1", "s2", F.when(F.col("id") == F.col("rep"), F.col("buckets")).alias("buckets")))
-    reps = member.where("buckets is not null").select("id", "n", "s1", "s2", F.explode("buckets").alias("bucket"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    signed = stored(texts.withColumn("print", F.xxhash64("text")).mapInArrow(_signed, SIGNED))
+    full = signed.where("id is not null and n > 0")
+    sums = ["n", "s1", "s2"]
+    # one row per different set; where ids repeat, sets with the same smallest id get names of their own
+    first = full.groupBy(*sums).agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"))
+    turn = F.row_number().over(Window.partitionBy("rep").orderBy(*sums))
+    other = F.lit(-(1 << 62)) - F.pmod(F.xxhash64(*sums), F.lit(1 << 62))
+    classes = stored(first.withColumn("key", F.when(turn == 1, F.col("rep")).otherwise(other)))
+    reps = classes.select(F.col("key").alias("id"), F.explode("buckets").alias("bucket"))
     met = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    in_buckets = stored(reps.join(met, "bucket").select("bucket", "id", "n", "s1", "s2"))
-    wanted = in_buckets.select("id", "n", "s1", "s2").distinct()
-    sets = Stored(texts.join(wanted, "id").select("id", "n", "s1", "s2", "text").mapInArrow(_sets, "id long, prints array<long>").dropDuplicates(["id"]))
+    in_buckets = stored(reps.join(met, "bucket").select("bucket", "id"))
+    wanted = classes.join(in_buckets.select(F.col("id").alias("key")).distinct(), "key").select("key", F.col("rep").alias("id"), *sums)
+    sets = Stored(texts.join(wanted, "id").select("key", *sums, "text").mapInArrow(_sets, "id long, prints array<long>").dropDuplicates(["id"]))
     release(spark)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -186,18 +202,34 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
         component = connected_components(links)
     sets.drop()
     release(spark)
-    component = component.select(F.col("id").alias("rep"), "component")
-    of = member.select("id", "rep").join(component, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    return once.select("id", F.col("n").alias("n_shingles")).join(of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    root = classes.select(*sums, "rep", "key").join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    least = root.groupBy("root").agg(F.min("rep").alias("least"))
+    named = root.join(least, "root").select(*sums, "least", "root")
+    rows = signed.select("id", "print", *sums).join(named, sums, "left")
+    own = F.col("id").isNotNull()
+    return rows.select("id", "print", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("least", "id")).alias("component"), F.when(own, F.col("root")).alias("group"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group; rows without an id are kept."""
-    groups = near_groups(docs, percent, id_col, text).where("component <> id").select(F.col("id").alias("_gone"))
-    return docs.join(groups, docs[id_col] == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of every group: with the smallest id, and of several texts of that id the one with the smallest hash.
+
+    Of rows that repeat that id and text, one stays. A text that no other reaches
+    stays whatever else its id has; rows without an id and with a blank text stay.
+    """
+    groups = stored(near_groups(docs, percent, id_col, text).where("id is not null and n_shingles > 0"))
+    at = groups.groupBy("id", "print", "group").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = at.groupBy("group").agg(F.min(F.struct("id", "print")).alias("first"))
+    judged = stored(at.join(chosen, "group").select(F.col("id").alias("_id"), F.col("print").alias("_print"), "rows", F.expr("first.id = id and first.print = print").alias("stays")))
+    same = lambda t: (docs[id_col].cast("long") == t["_id"]) & (F.xxhash64(docs[text]) == t["_print"])
+    gone, several = judged.where("not stays"), judged.where("stays and rows > 1")
+    kept = docs.join(gone, same(gone), "left_anti")
+    if several.isEmpty():
+        return kept
+    one = docs.join(several, same(several)).dropDuplicates(["_id", "_print"]).select(*docs.columns)
+    return kept.join(several, same(several), "left_anti").unionByName(one)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    groups = near_groups(table(spark, sf_dir, "documents"))
+    """One row per document: doc_id, n_shingles, component_id, kept; both last are null without an id."""
+    groups = near_groups(table(spark, sf_dir, "documents"), percent=85)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

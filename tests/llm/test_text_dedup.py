@@ -28,7 +28,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-def brute_groups(texts, percent=85):
+def brute_groups(texts, percent=80):
     sets = {i: shingle_set(t) for i, t in texts}
     parent = {i: i for i in sets}
 
@@ -102,10 +102,51 @@ def test_many_near_copies_take_several_rounds(spark):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, "")]
     df = docs_of(spark, rows)
-    assert sorted((r.id, r.component) for r in minhash_dedup.near_groups(df).collect()) == [(1, 1), (2, 1), (3, 3)]
-    assert sorted(str(r.doc_id) for r in minhash_dedup.keep_one(df).collect()) == ["1", "1", "3", "None"]
+    got = sorted((str(r.id), str(r.component), r.n_shingles) for r in minhash_dedup.near_groups(df).collect())
+    assert got == [("1", "1", 2), ("1", "1", 2), ("2", "1", 2), ("3", "3", 0), ("3", "3", 0), ("None", "None", 2)]
+    kept = minhash_dedup.keep_one(df)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "None"] and kept.columns == df.columns
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    a, b, c = ("the first text has these very words", "quite unrelated words stand in the other text here", "and a third one of its own goes last")
+    rows = [(1, a), (2, a), (2, b), (3, c), (7, a), (7, c), (7, b), (2, c)]
+    df = docs_of(spark, rows)
+    got = {(r.id, r.print): r.component for r in minhash_dedup.near_groups(df).collect()}
+    assert sorted(got.values()) == [1, 1, 1, 2, 2, 2, 2, 2] and len(got) == 8
+    assert sorted((r.doc_id, r.text) for r in minhash_dedup.keep_one(df).collect()) == [(1, a), (2, c), (2, b)]
+
+
+def template_texts(v, seed=9):
+    """Sixty common words with three slots of ``v`` words each: close to the threshold, but not over it at 85 %."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(v**3):
+        w = list(common)
+        for slot, x in ((10, k % v), (30, k // v % v), (50, k // v // v)):
+            w.insert(slot, f"s{slot}v{x}")
+        rows.append((k, " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("square", [256, 7])
+def test_template_texts(spark, monkeypatch, square):
+    monkeypatch.setattr(minhash_dedup, "SQUARE", square)
+    texts = template_texts(4)
+    for percent in (80, 85):
+        got = {r.id: (r.n_shingles, r.component) for r in minhash_dedup.near_groups(docs_of(spark, texts), percent).collect()}
+        assert got == brute_groups(texts, percent), percent
+
+
+def test_op3_equals_brute_force(spark, tmp_path):
+    texts = corpus(11)
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.op3_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in brute_groups(texts, 85).items()}
 
 
 def test_empty_tables(spark):
