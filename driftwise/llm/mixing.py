@@ -6,8 +6,8 @@ targets. A document's probability is its cell's weight over a cut, 1 at most; it
 is taken when a hash of its id falls below that. The cut is the largest weight,
 where that leaves at least ``SHARE`` of the tokens to be expected. Else it is the
 one that leaves just that many, and cells with larger weights, which would need
-repeating, are taken whole; so a tiny cell does not shrink all others. The query
-op6 follows its SQL, where the cut is the largest weight always.
+repeating, are taken whole; so a tiny cell does not shrink all others, and what
+is taken grows with what there is.
 
 Only DataFrame functions are used. The cells are partially aggregated before
 they are dealt out, so a source with a third of all rows costs one row per task
@@ -17,24 +17,33 @@ are broadcast to the documents is left to Spark, which checks their size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Stored, table
 
 ROUNDS, TEMPERATURE, SHARE = 8, 0.7, 0.5
 DIMS = ("source", "lang", "topic")
-#: ``documents`` names no topic; the form of a text stands in for it.
-TOPIC_SQL = "case when {t} like '%|%' then 'table' when {n} >= 4000 then 'long' else 'short' end"
+#: Where no column names a document's topic, the first of these that its text matches does, else the last name.
+TOPICS = (
+    ("table", r"[|]"),
+    ("legal", r"(?i)licen[cs]e|copyright|rights reserved"),
+    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"),
+    ("question", r"[?]"),
+    ("prose", ""),
+)
 
 
 def cells_of(docs: DataFrame, dims=DIMS, tokens: str = "tokens") -> DataFrame:
     return docs.groupBy(*dims).agg(F.sum(tokens).cast("double").alias("n"))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, dims=DIMS, rounds: int = ROUNDS, temperature: float = TEMPERATURE) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, dims=DIMS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, tolerance: float = 0.0) -> DataFrame:
     """``cells`` (dims, n) with a column w: the factor on each cell's tokens.
 
+    At most ``rounds`` rounds; fewer, if no factor of a round's first marginals
+    is further than ``tolerance`` from 1.
+
     ``targets`` gives shares per dimension and value; a value it lacks has the
     share 0. A dimension it lacks aims at shares in proportion to tokens **
     ``temperature``. Marginals without tokens keep their weights.
@@ -48,13 +57,18 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
         by = now.df.groupBy(d).agg(F.sum("n").alias("t"))
         if targets and d in targets:
             given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "v string, part double")
-            part = by.join(given, F.col(d).eqNullSafe(F.col("v")), "left").select(d, F.coalesce("part", F.lit(0.0)).alias("part"))
+            part = by.join(given, F.col(d) == F.col("v"), "left").select(d, F.coalesce("part", F.lit(0.0)).alias("part"))
         else:
             part = by.select(d, F.pow("t", F.lit(temperature)).alias("part"))
         whole = part.agg(F.sum("part").alias("whole"))
         goals.append(Stored(part.join(F.broadcast(whole)).join(F.broadcast(total)).select(F.col(d), F.expr("case when whole > 0 then total * part / whole else 0d end").alias("goal"))))
-    for _ in range(rounds):
+    for k in range(rounds):
         df = now.df
+        if k and tolerance:
+            have = df.groupBy(dims[0]).agg(F.sum(F.col("n") * F.col("w")).alias("have")).where("have > 0")
+            off = have.join(goals[0].df, dims[0]).agg(F.max(F.abs(F.col("goal") / F.col("have") - 1))).first()[0]
+            if off is None or off <= tolerance:
+                break
         for d, goal in zip(dims, goals, strict=True):
             have = df.groupBy(d).agg(F.sum(F.col("n") * F.col("w")).alias("have"))
             step = have.join(goal.df, d).select(d, F.expr("case when have > 0 then goal / have else 1d end").alias("f"))
@@ -85,53 +99,87 @@ def cut_of(cells: DataFrame, share: float) -> float | None:
     return cut
 
 
-def uniform(id_: F.Column) -> F.Column:
+def uniform(id_: Column) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(16.0**13)
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, share: float | None = SHARE) -> DataFrame:
-    """All rows and columns of ``docs`` with _tokens, _weight, _probability and _sampled, and the dims as _source, _lang, _topic.
+def helper_prefix(docs: DataFrame) -> str:
+    """As many underscores as no column of ``docs`` starts with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def named(c: Column) -> Column:
+    """A text for every value, null included, and no two values with the same."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
+def value_of(name: Column) -> Column:
+    return F.when(name != "", F.substring(name, 2, 1 << 30))
+
+
+def topic_of(text: Column) -> Column:
+    out = None
+    for topic, pattern in TOPICS[:-1]:
+        hit = F.coalesce(text, F.lit("")).rlike(pattern)
+        out = F.when(hit, topic) if out is None else out.when(hit, topic)
+    return out.otherwise(TOPICS[-1][0])
+
+
+def mixed(
+    docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
+    topic: str | None = None, share: float | None = SHARE, tokens: str | None = None, rounds: int = ROUNDS, tolerance: float = 0.0, prefix: str | None = None,
+) -> DataFrame:
+    """All rows and columns of ``docs`` and, behind ``prefix``, source, lang, topic, tokens, weight, probability and sampled.
 
-    Tokens are counted as a quarter of the text's bytes, rounded up; null and
-    empty texts have none. A null source, language or topic is a value of its
-    own. Rows that repeat an id share its fate; an empty table stays empty, and
-    if no document has tokens every one is taken. ``share`` is the part of the
-    tokens to expect at least; with None the cut is the largest weight.
+    ``prefix`` is one underscore, or more if columns of ``docs`` start so. The
+    three dims are named by ``named``, so a null source, language or topic is a
+    value of its own; ``targets`` has it under None. Tokens are those of the
+    column ``tokens``, else a quarter of the text's bytes, rounded up; null and
+    empty texts have none. Without a column ``topic``, the text's topic is the
+    first of ``TOPICS``. Rows that repeat an id share its fate; an empty table
+    stays empty, and if no document has tokens every one is taken. ``share`` is
+    the part of the tokens to expect at least; with None the cut is the largest
+    weight.
     """
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    form = F.expr(TOPIC_SQL.format(t=f"coalesce(`{text}`, '')", n=f"coalesce(octet_length(`{text}`), 0)"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
-    rows = docs.withColumns({"_source": name(source), "_lang": name(lang), "_topic": name(topic) if topic else form, "_tokens": F.ceil(size / 4)})
-    dims = ("_source", "_lang", "_topic")
-    renamed = {f"_{d}": goal for d, goal in (targets or {}).items()}
-    cells = raked(cells_of(rows, dims, "_tokens"), renamed, dims)
+    p = prefix or helper_prefix(docs)
+    size = F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4)
+    dims = tuple(p + d for d in DIMS)
+    values = (F.col(source), F.col(lang), F.col(topic) if topic else topic_of(F.col(text)))
+    rows = docs.withColumns({d: named(v) for d, v in zip(dims, values, strict=True)} | {p + "tokens": F.coalesce(tokens, F.lit(0)) if tokens else size})
+    renamed = {p + d: {"" if k is None else f"={k}": v for k, v in goal.items()} for d, goal in (targets or {}).items()}
+    cells = raked(cells_of(rows, dims, p + "tokens"), renamed, dims, rounds, tolerance=tolerance)
     top = cells.where("n > 0").agg(F.max("w").alias("top"))
     if share is not None:
         top = top.select(F.lit(cut_of(cells, share)).cast("double").alias("top"))
-    calibrated = cells.join(F.broadcast(top)).select(*dims, F.col("w").alias("_weight"), F.expr("case when top > 0 then least(1d, w / top) else 1d end").alias("_probability"))
-    return rows.join(calibrated, list(dims)).withColumn("_sampled", uniform(F.col(id_col)) < F.col("_probability"))
+    calibrated = cells.join(F.broadcast(top)).select(*dims, F.col("w").alias(p + "weight"), F.expr("case when top > 0 then least(1d, w / top) else 1d end").alias(p + "probability"))
+    sampled = uniform(F.col(id_col)) < F.col(p + "probability")
+    return rows.join(calibrated, list(dims)).withColumn(p + "sampled", sampled).select(*docs.columns, *(p + c for c in (*DIMS, "tokens", "weight", "probability", "sampled")))
 
 
 def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, with its own columns."""
-    return mixed(docs, **options).where("_sampled").select(*docs.columns)
+    """The sampled rows of ``docs``, with its own columns as they were."""
+    p = helper_prefix(docs)
+    return mixed(docs, prefix=p, **options).where(f"{p}sampled").select(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its cell, tokens, calibrated weight and probability, and whether it is sampled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed(docs, share=None).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
+    return mixed(docs).select(
+        "doc_id", value_of(F.col("_source")).alias("source"), value_of(F.col("_lang")).alias("lang"), value_of(F.col("_topic")).alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
         F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
     )
 
 
 def raking_sql(docs_sql: str) -> str:
     """Common table expressions ending in ``mixed``: the rows of ``docs_sql`` with _topic, _tokens, _weight, _probability, _sampled."""
-    topic = TOPIC_SQL.format(t="coalesce(text, '')", n="coalesce(strlen(text), 0)")
+    topic = "case " + " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '={t}'" for t, p in TOPICS[:-1]) + f" else '={TOPICS[-1][0]}' end"
     ctes = [
-        f"r as materialized (select *, coalesce(source, '(null)') as _source, coalesce(lang, '(null)') as _lang, {topic} as _topic, cast(ceil(coalesce(strlen(text), 0) / 4.0) as bigint) as _tokens from ({docs_sql}))",
+        f"r as materialized (select *, coalesce('=' || source, '') as _source, coalesce('=' || lang, '') as _lang, {topic} as _topic, cast(ceil(coalesce(strlen(text), 0) / 4.0) as bigint) as _tokens from ({docs_sql}))",
         "c0 as materialized (select _source, _lang, _topic, cast(sum(_tokens) as double) as n, 1.0::double as w from r group by all)",
     ]
     for d in DIMS:
@@ -142,11 +190,15 @@ def raking_sql(docs_sql: str) -> str:
             new = f"c{k + 1}_{d}"
             ctes.append(f"{new} as materialized (select c.* replace (c.w * f.f as w) from {last} c join (select h._{d}, case when have > 0 then goal / have else 1 end as f from (select _{d}, sum(n * w) as have from {last} group by _{d}) h join g_{d} using (_{d})) f using (_{d}))")
             last = new
-    ctes.append(f"mixed as materialized (select r.*, c.w as _weight, case when t.top > 0 then least(1.0, c.w / t.top) else 1.0 end as _probability, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / {16.0**13!r} < _probability as _sampled from r join {last} c using (_source, _lang, _topic) cross join (select max(w) as top from {last} where n > 0) t)")
+    # the cut, of those that take the k largest different weights whole, that lies between the last of these and the next
+    ctes.append(f"""by_w as (select w, sum(n) as n, sum(n * w) as nw from {last} where n > 0 and w > 0 group by w),
+steps as (select w, lead(w) over (order by w desc) as next, sum(n) over (order by w desc) as whole, sum(nw) over (order by w desc rows between 1 following and unbounded following) as rest, sum(n) over () as total from by_w),
+cut as materialized (select case when sum(nw) >= max(w) * {SHARE} * sum(n) * (1 - 1e-9) then max(w) else (select max(rest / ({SHARE} * total - whole)) from steps where {SHARE} * total > whole and rest / ({SHARE} * total - whole) between next * (1 - 1e-9) and w * (1 + 1e-9)) end as top from by_w)""")
+    ctes.append(f"mixed as materialized (select r.*, c.w as _weight, case when t.top > 0 then least(1.0, c.w / t.top) else 1.0 end as _probability, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / {16.0**13!r} < _probability as _sampled from r join {last} c using (_source, _lang, _topic) cross join cut t)")
     return ",\n".join(ctes)
 
 
 ORACLE_SQL = (
-    "with " + raking_sql("select doc_id, text, source, lang from documents") + "\nselect doc_id, _source as source, _lang as lang, _topic as topic, _tokens as tokens, "
+    "with " + raking_sql("select doc_id, text, source, lang from documents") + "\nselect doc_id, " + ", ".join(f"nullif(_{d}, '')[2:] as {d}" for d in DIMS) + ", _tokens as tokens, "
     "round(_weight, 6) as weight, round(_probability, 6) as probability, _sampled as sampled from mixed"
 )

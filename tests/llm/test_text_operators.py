@@ -306,13 +306,13 @@ def test_mixing_equals_sql(spark, sf_dir):
 def test_raking_meets_targets(spark):
     rows = [(k, "x" * (4 + k % 9), ["a", "b", None][k % 3], ["en", "fr"][k % 5 == 0], 3) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n long")
-    goal = {"source": {"a": 0.5, "b": 0.3, "(null)": 0.2}, "lang": {"en": 0.5, "fr": 0.5}}
-    out = mixing.mixed(df, goal)
-    sums = {r[0]: r[1] for d in ("_source", "_lang") for r in out.groupBy(d).agg(F.sum(F.col("_tokens") * F.col("_weight"))).collect()}
+    goal = {"source": {"a": 0.5, "b": 0.3, None: 0.2}, "lang": {"en": 0.5, "fr": 0.5}}
+    out = mixing.mixed(df, goal, share=None)
+    sums = {(r[0] or "=(null)")[1:]: r[1] for d in ("_source", "_lang") for r in out.groupBy(d).agg(F.sum(F.col("_tokens") * F.col("_weight"))).collect()}
     total = sums["en"] + sums["fr"]
     for d in goal.values():
         for k, share in d.items():
-            assert sums[k] / total == pytest.approx(share, abs=1e-4)
+            assert sums[k or "(null)"] / total == pytest.approx(share, abs=1e-4)
     assert out.where("_probability > 1 or _probability < 0").count() == 0 and out.agg(F.max("_probability")).first()[0] == 1
     assert mixing.sample_mix(df).columns == df.columns
 
@@ -339,6 +339,34 @@ def test_cut_leaves_the_share_asked_for(spark):
         assert left(cut) == pytest.approx(max(share * total, left(top)), rel=1e-6) and cut <= top
 
 
+def test_mixing_keeps_columns_by_its_own_names(spark):
+    rows = [(k, "x" * 40, s, "en", "mine", 1, True) for k in range(40) for s in ("a", "(null)", None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _source string, _tokens int, __sampled boolean")
+    out = mixing.sample_mix(df, share=1.0)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+    full = mixing.mixed(df)
+    assert full.columns[: len(df.columns)] == df.columns and full.select("___source").distinct().count() == 4
+
+
+def test_mixing_with_given_tokens_and_until_it_agrees(spark):
+    rows = [(k, "x" * (1 + k % 7), "abc"[k % 3], "uv"[k % 5 > 1], 10 + k % 4) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n long")
+    goal = {"source": {"a": 0.6, "b": 0.3, "c": 0.1}, "lang": {"u": 0.9, "v": 0.1}}
+    out = mixing.mixed(df, goal, tokens="n", rounds=40, tolerance=1e-7)
+    assert out.agg(F.sum("_tokens")).first()[0] == sum(r[4] for r in rows)
+    sums = {r[0]: r[1] for r in out.groupBy("_source").agg(F.sum(F.col("_tokens") * F.col("_weight"))).collect()}
+    assert sums["=a"] / sum(sums.values()) == pytest.approx(0.6, abs=1e-6)
+
+
+def test_what_is_sampled_grows_with_the_corpus(spark):
+    taken = []
+    for n in (2000, 8000):
+        rows = [(k, "y" * (100 + k % 50), f"s{min(k % 13, k % 7)}", "en" if k % 3 else "fr") for k in range(n)] + [(-1, "z", "rare", None), (-2, None, None, "rare")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+        taken.append(mixing.sample_mix(df).count())
+    assert 3.4 * taken[0] < taken[1] < 4.6 * taken[0]
+
+
 def test_mixing_without_tokens(spark):
     df = spark.createDataFrame([(1, None, None, None), (None, "", "s", "en"), (1, None, None, None)], "doc_id long, text string, source string, lang string")
     assert mixing.mixed(df).count() == 3
