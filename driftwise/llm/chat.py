@@ -167,3 +167,19 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     digests = format_chats(turns.unionByName(probe)).mapInArrow(_digest, "id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return digests.withColumnRenamed("id", "conv_id")
+
+
+def _escaped_sql(c: str) -> str:
+    out = f"replace({c}, '\\', '\\\\')"
+    for s in CONTROL:
+        out = f"replace({out}, '{s}', '{s[0]}\\{s[1:]}')"
+    return out
+
+
+_FIXED = len((OPEN + CLOSE + END).decode())
+ORACLE_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t, role, text from conversations where conv_id is not null
+  union all select -1, k, role, text, role, text from (values (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) p(k, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) as turns_sha256,
+  cast(coalesce(sum(length(t)) filter (r = '{TRAINED}'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(t, '' order by turn nulls first, text nulls first) filter (r = '{TRAINED}'), '')) as loss_sha256,
+  cast(sum({_FIXED} + length({_escaped_sql("r")}) + length({_escaped_sql("t")})) as bigint) as formatted_chars
+from c group by conv_id"""

@@ -215,3 +215,15 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("c", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("c", "vec_id")).alias("kept"),
     )
+
+
+#: The same by brute force, for small tables: all pairs of equally labelled vectors.
+ORACLE_SQL = """with recursive v as materialized (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join link l on l.a = r.b),
+least as (select a, min(b) as c from reach group by a),
+links as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept from embeddings join least on least.a = vec_id left join links on links.a = vec_id"""

@@ -233,3 +233,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; both last are null without an id."""
     groups = near_groups(table(spark, sf_dir, "documents"), percent=85)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+#: The same by brute force, for small tables: all pairs of documents that share a shingle.
+ORACLE_SQL = r"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+size as materialized (select doc_id, count(s) as n from w left join sh using (doc_id) group by doc_id),
+link as materialized (select a.doc_id as a, b.doc_id as b from sh a join sh b using (s) join size x on x.doc_id = a.doc_id join size y on y.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join link l on l.a = r.b),
+least as (select a, min(b) as c from reach group by a)
+select doc_id, n as n_shingles, c as component_id, doc_id = c as kept from size join least on a = doc_id"""

@@ -14,6 +14,7 @@ document with a smaller id. Only suffixes that can match are ever sorted:
    what is found in it holds for the copies in its own document, too.
 3. The remaining stretches of an anchor differ. Their bytes are fetched and
    dealt out by anchor, where suffixes at the windows' starts are sorted.
+   Suffixes that share their first bytes with none (by fingerprint) are left out.
    With adjacent longest common prefixes, the nearest suffixes before and after
    in that order with a smaller document id give each suffix its longest previous factor;
    it is a repeat where that reaches ``LENGTH``. Anchors with more than ``CROWD``
@@ -67,16 +68,19 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     eight = np.minimum(four[:-4], four[4:])
     sixteen = np.minimum(eight[:-8], eight[8:])
     least = (np.minimum(sixteen[: len(k) - SPAN + 1], sixteen[SPAN - 16 : len(k) - SPAN + 1 + SPAN - 16]) & _LOW).astype(np.int64)
-    document = np.searchsorted(offsets, np.arange(len(least)), "right") - 1
-    fits = np.arange(len(least)) + LENGTH <= offsets[document + 1]
-    new = fits & np.r_[True, (least[1:] != least[:-1]) | ~fits[:-1]]
+    # windows that start less than LENGTH before their document's end don't fit it
+    size = np.diff(offsets)
+    fits = np.ones(len(data) + 1, bool)
+    fits[_ranges(np.maximum(offsets[:-1], offsets[1:] - LENGTH + 1), np.minimum(size, LENGTH - 1))] = False
+    fits = fits[: len(least)]
+    new = fits.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~fits[:-1]
     start = np.flatnonzero(new)
     if not len(start):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    count = np.add.reduceat(fits.astype(np.int64), start)
-    anchor = h[least[start]]
-    size = count + LENGTH - 1
-    return document[start], start, count, anchor, prints(p, start, size)
+    document = np.searchsorted(offsets, start, "right") - 1
+    count = np.minimum(np.r_[start[1:], len(data)], offsets[document + 1] - LENGTH + 1) - start
+    return document, start, count, h[least[start]], prints(p, start, count + LENGTH - 1)
 
 
 def prints(p: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -158,27 +162,31 @@ def adjacent_lcp(flat: np.ndarray, sorted_starts: np.ndarray, length: int = LENG
     return out
 
 
-def longest_previous_factor(lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For suffixes in order: their longest common prefix with any suffix of strictly smaller rank.
+def longest_previous_factor(lcp: np.ndarray, rank: np.ndarray, least: int = 1) -> np.ndarray:
+    """For suffixes in order: their longest common prefix with any suffix of strictly smaller rank, 0 if under ``least``.
 
-    That is reached by the nearest such suffix before or after in the order, so
-    one stack of increasing ranks finds it in a pass each way.
+    That is reached by the nearest such suffix before or after in the order.
+    Both are found for all suffixes at once by jumping pointers: a suffix points
+    to the one beside it, and as long as that has no smaller rank, to where that
+    one points, while the least common prefix on the way is kept.
     """
-    lpf = np.zeros(len(rank), np.int64)
-    for order in (1, -1):
-        ranks = rank[::order].tolist()
+    best = np.zeros(len(rank), np.int64)
+    if not len(rank):
+        return best
+    for way in (1, -1):
+        r = rank[::way]
         # common prefix with the suffix passed just before, in this direction
-        common = lcp.tolist() if order == 1 else [0, *lcp[:0:-1].tolist()]
-        stack: list[tuple[int, int]] = []
-        best = lpf if order == 1 else lpf[::-1]
-        for i, r in enumerate(ranks):
-            reach = common[i]
-            while stack and stack[-1][0] >= r:
-                reach = min(reach, stack.pop()[1])
-            if stack and reach > best[i]:
-                best[i] = reach
-            stack.append((r, reach))
-    return lpf
+        common = np.r_[0, lcp[1:]] if way == 1 else np.r_[0, lcp[:0:-1]]
+        to = np.arange(len(r)) - 1
+        live = np.flatnonzero(common >= least)
+        live = live[r[to[live]] >= r[live]]
+        while len(live):
+            at = to[live]
+            common[live], to[live] = np.minimum(common[live], common[at]), to[at]
+            live = live[common[live] >= least]
+            live = live[r[to[live]] >= r[live]]
+        best = np.maximum(best, np.where(common >= least, common, 0)[::way])
+    return best
 
 
 def repeats(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,14 +194,15 @@ def repeats(flat: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
     count = np.maximum(0, np.diff(offsets) - length + 1)
     of = np.repeat(np.arange(len(count)), count)
     starts = _ranges(offsets[:-1], count)
-    order = suffix_order(flat, starts, length)
-    lcp = adjacent_lcp(flat, starts[order], length)
-    # suffixes that share less than ``length`` with both neighbours have no match; the rest keep their order
-    full = lcp >= length
-    near = np.flatnonzero(full | np.r_[full[1:], False])
-    lpf = longest_previous_factor(lcp[near], ids[of[order[near]]])
+    # suffixes whose first ``length`` bytes have a fingerprint of their own have no match and need no place in the order
+    own = prints(prefix(flat), starts, np.full(len(starts), length))
+    by = np.argsort(own)
+    same = own[by[1:]] == own[by[:-1]]
+    near = np.sort(by[np.r_[same, False] | np.r_[False, same]]) if len(by) else by
+    near = near[suffix_order(flat, starts[near], length)]
+    lpf = longest_previous_factor(adjacent_lcp(flat, starts[near], length), ids[of[near]], length)
     hit = np.zeros(len(starts), bool)
-    hit[order[near]] = lpf >= length
+    hit[near] = lpf >= length
     return of, starts, hit
 
 
@@ -341,3 +350,15 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = cut_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same by brute force, for small tables: every 50-byte string of every document, as text in hexadecimal digits.
+ORACLE_SQL = f"""with b as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as materialized (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s from (select doc_id, h, unnest(range(n - {LENGTH - 1})) as i from b)),
+hit as (select w.doc_id, w.i from w join (select s, min(doc_id) as lo from w group by s) using (s) where lo < w.doc_id),
+run as (select doc_id, i, sum(new) over (partition by doc_id order by i) as r from (select *, case when i - lag(i) over (partition by doc_id order by i) <= {LENGTH} then 0 else 1 end as new from hit)),
+span as (select doc_id, min(i) as a, max(i) + {LENGTH} as z from run group by doc_id, r),
+kept as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as y from span),
+cut as (select doc_id, sum(z - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' order by a) || max(substr(h, 2 * last + 1)) as rest
+  from (select k.*, b.h, max(z) over (partition by doc_id) as last from kept k join b using (doc_id)) group by doc_id)
+select b.doc_id, b.n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256 from b left join cut using (doc_id)"""

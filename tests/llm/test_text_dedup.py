@@ -177,6 +177,26 @@ def test_cut_all_copies_within_a_document(spark, monkeypatch, crowd):
     assert got == brute_cut(texts)
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6))
+def test_op8_equals_brute_force(spark, tmp_path_factory, seed):
+    """Documents made of few passages, whole or in part, many times over within one and across."""
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("abcdefgé \n") for _ in range(n))
+    passages = [some(rng.randint(30, 200)) for _ in range(12)]
+
+    def piece():
+        p = rng.choice(passages)
+        a, b = sorted((rng.randint(0, len(p)), rng.randint(0, len(p))))
+        return rng.choice([p, p, p[a:], p[a:b], some(rng.randint(0, 30))])
+
+    texts = [(k, "".join(piece() for _ in range(rng.choice([0, 1, 3, 12])))) for k in rng.sample(range(1000), 120)]
+    folder = str(tmp_path_factory.mktemp("op8"))
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(folder + "/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op8_suffix_array_dedup(spark, folder).collect()}
+    assert got == brute_cut(texts)
+
+
 def test_cut_rows_that_share_an_id(spark):
     a, b = "x" * 30 + "0123456789" * 8, "y" * 30 + "0123456789" * 8
     rows = [(1, a), (1, b), (1, a), (2, "z" * 10 + b), (None, b)]
@@ -207,6 +227,7 @@ def test_longest_previous_factor(lcp, data):
     rank = np.array(data.draw(st.lists(st.integers(0, 5), min_size=len(lcp), max_size=len(lcp))))
     want = [max([0, *(min(lcp[min(i, j) + 1 : max(i, j) + 1]) for j in range(len(lcp)) if rank[j] < rank[i])]) for i in range(len(lcp))]
     assert suffix_dedup.longest_previous_factor(lcp, rank).tolist() == want
+    assert suffix_dedup.longest_previous_factor(lcp, rank, 3).tolist() == [x if x >= 3 else 0 for x in want]
 
 
 @settings(max_examples=60, deadline=None)
