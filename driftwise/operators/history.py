@@ -2,33 +2,96 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import vectors as V
 
+#: Documents of an entity in one block, and rows of a block multiplied at once.
+BLOCK, ROWS = 2048, 256
 
-def self_similarity(docs: DataFrame, blocks: int = 16, entity: str = "stkcd", date: str = "date", id_col: str = "p_id") -> DataFrame:
+
+def _order(d: pa.ChunkedArray, i: pa.ChunkedArray) -> np.ndarray:
+    """The place of each row by (d, i); equal pairs share one."""
+    rows = pa.table({"d": d, "i": i})
+    at = pc.sort_indices(rows, [("d", "ascending"), ("i", "ascending")]).to_numpy()
+    new = np.zeros(len(at), bool)
+    for c in ("d", "i"):
+        v = rows.column(c).take(pa.array(at)).combine_chunks()
+        if len(v) > 1:
+            new[1:] |= np.array(pc.not_equal(v[1:], v[:-1]))
+    place = np.empty(len(at), np.int64)
+    place[at] = np.cumsum(new)
+    return place
+
+
+def _compared(group: pa.Table) -> pa.Table:
+    """Of a block of later documents and a block of earlier ones: each later one's nearest, and the sum and number of similarities."""
+    width = group.column("w")[0].as_py()
+    u = group.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    u = u / np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+    place = _order(group.column("d"), group.column("i"))
+    is_later = np.array(group.column("later"))
+    later, earlier = np.flatnonzero(is_later), np.flatnonzero(~is_later)
+    earlier = earlier[np.argsort(place[earlier], kind="stable")]
+    # the earlier documents of a later one are the first so many
+    count = np.searchsorted(place[earlier], place[later], "left")
+    keep = np.flatnonzero(count > 0)
+    found = []
+    for start in range(0, len(keep), ROWS):
+        rows = keep[start : start + ROWS]
+        n = int(count[rows].max())
+        s = u[later[rows]] @ u[earlier[:n]].T
+        before = np.arange(n)[None, :] < count[rows][:, None]
+        # of values that differ by rounding alone the first counts, as of equal ones
+        best = np.where(before, np.round(s, 12), -np.inf).argmax(axis=1)
+        found.append((later[rows], earlier[best], s[np.arange(len(rows)), best], np.where(before, s, 0.0).sum(axis=1), count[rows]))
+    a, b, s, total, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+    one, two = group.take(pa.array(a)), group.take(pa.array(b))
+    return pa.table({
+        "e": one.column("e"), "d": one.column("d"), "i": one.column("i"), "s": pa.array(s, pa.float64()), "q": two.column("d"), "j": two.column("i"), "g": two.column("g"),
+        "total": pa.array(total, pa.float64()), "n": pa.array(n, pa.int64()),
+    })
+
+
+def self_similarity(docs: DataFrame, block: int = BLOCK, entity: str = "stkcd", date: str = "date", id_col: str = "p_id") -> DataFrame:
     """sim_max, days back to that earlier document (the earliest of ties), and sim_ave.
 
-    Earlier is by (date, id). Pairs are made once, each costing one dot product
-    of unit vectors; the earlier side is copied to ``blocks`` parts of the later
-    one, so an entity with very many documents is spread over tasks, no task
-    sorts an entity, and pairs are reduced in place. An id is unique within its
-    entity and date. Documents without usable vectors have null results.
+    Earlier is by (date, id); an id is unique within its entity and date. An
+    entity's documents are dealt to blocks of about ``block``; every block meets
+    every other one of its entity once as the later side and once as the earlier
+    one, as one matrix product of unit vectors that is reduced in place. So no
+    pair is ever a row, no task holds more than two blocks, and an entity with
+    very many documents is spread over tasks. Vectors of different widths are
+    not compared; documents without usable vectors have null results.
     """
     v = V.as_doubles(F.col("embedding"))
-    length = V.norm(v)
-    usable = (F.size(v) > 0) & ~F.exists(v, lambda x: ~V.is_finite(x)) & (length > V.TOLERANCE)
-    place = F.struct(F.coalesce(F.col(date), F.lit("9999-12-31").cast("date")).alias("d"), F.col(id_col).alias("i"))
-    units = docs.where(usable).select(F.col(entity).alias("_e"), place.alias("_o"), F.col(date).alias("_d"), F.transform(v, lambda x: x / length).alias("_u"))
-    later = units.withColumn("_b", F.pmod(F.xxhash64("_o"), F.lit(blocks)))
-    earlier = units.select(F.col("_e").alias("_f"), F.col("_o").alias("_q"), F.col("_d").alias("_g"), F.col("_u").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_c"))
-    pairs = later.join(earlier, (F.col("_e") == F.col("_f")) & (F.col("_b") == F.col("_c")) & (F.col("_q") < F.col("_o")))
-    sims = pairs.select("_e", "_o", F.when(F.size("_u") == F.size("_w"), V.dot(F.col("_u"), F.col("_w"))).alias("s"), "_q", "_g").where("s is not null")
-    best = sims.groupBy("_e", "_o").agg(F.min(F.struct((-F.col("s")).alias("s"), "_q", "_g")).alias("m"), F.avg("s").alias("sim_ave"))
+    usable = (F.size(v) > 0) & ~F.exists(v, lambda x: ~V.is_finite(x)) & (V.norm(v) > V.TOLERANCE)
+    day = F.coalesce(F.col(date), F.lit("9999-12-31").cast("date"))
+    units = docs.where(usable).select(F.col(entity).alias("e"), day.alias("d"), F.col(id_col).alias("i"), F.col(date).alias("g"), v.alias("u"), F.size(v).alias("w"))
+    sizes = docs.groupBy(F.col(entity).alias("e")).agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    dealt = units.join(sizes, "e").withColumn("own", F.pmod(F.xxhash64("d", "i"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    columns = ["e", "d", "i", "g", "u", "w"]
+    sides = dealt.select(*columns, F.col("own").alias("x"), every.alias("y"), F.lit(True).alias("later")).unionByName(dealt.select(*columns, every.alias("x"), F.col("own").alias("y"), F.lit(False).alias("later")))
+    kind = {f.name: f.dataType for f in units.schema.fields}
+    fields = [("e", kind["e"]), ("d", kind["d"]), ("i", kind["i"]), ("s", "double"), ("q", kind["d"]), ("j", kind["i"]), ("g", kind["g"]), ("total", "double"), ("n", "long")]
+    schema = StructType()
+    for name, t in fields:
+        schema = schema.add(name, t) if isinstance(t, str) else StructType([*schema.fields, StructField(name, t)])
+    # few bytes make much work here, so the session's number of partitions holds, not one by bytes
+    keys = ["e", "w", "x", "y"]
+    sides = sides.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sims = sides.groupBy(*keys).applyInArrow(_compared, schema)
+    best = sims.groupBy(F.col("e").alias("_e"), F.col("d").alias("_d"), F.col("i").alias("_i")).agg(
+        F.min(F.struct(-F.round("s", 12), "q", "j", "s", "g")).alias("m"), (F.sum("total") / F.sum("n")).alias("sim_ave")
+    )
     years = [c for c in ("p_year",) if c in docs.columns]
-    keyed = docs.select(entity, *years, id_col, date, place.alias("_p"))
-    return keyed.join(best, (F.col(entity) == F.col("_e")) & (F.col("_p") == F.col("_o")), "left").select(
-        entity, *years, id_col, date, (-F.col("m.s")).alias("sim_max"), F.datediff(F.col(date), F.col("m._g")).alias("sim_max_d"), "sim_ave"
+    keyed = docs.select(entity, *years, id_col, date, day.alias("_p"))
+    return keyed.join(best, (F.col(entity) == F.col("_e")) & (F.col("_p") == F.col("_d")) & (F.col(id_col) == F.col("_i")), "left").select(
+        entity, *years, id_col, date, F.col("m.s").alias("sim_max"), F.datediff(F.col(date), F.col("m.g")).alias("sim_max_d"), "sim_ave"
     )

@@ -10,8 +10,6 @@ from ..functions import vectors as V
 
 #: (factor of the entity, step of the regime, years a regime lasts, first year, shift) of the two models
 MODELS = {"a": (7, 3, 3, 1995, 0), "b": (5, 2, 2, 1996, 11)}
-#: ids below this are in the SQL of self-similarity; the queries take all documents
-SELF = 15_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

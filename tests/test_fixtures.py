@@ -64,7 +64,7 @@ def test_entity_year(spark, docs, options, want):
 def test_self_similarity(spark):
     rows = [("1", "a", "2002-01-01", [1.0, 0.0]), ("1", "b", "2002-01-01", [1.0, 0.0]), ("1", "c", "2004-01-01", [1.0, 1.0]), ("1", "d", "2005-01-01", [0.0, 0.0])]
     df = spark.createDataFrame(rows, "stkcd string, p_id string, d string, embedding array<double>").withColumn("date", F.to_date("d"))
-    got = {r.p_id: (r.sim_max, r.sim_max_d, r.sim_ave) for r in history.self_similarity(df, blocks=3).collect()}
+    got = {r.p_id: (r.sim_max, r.sim_max_d, r.sim_ave) for r in history.self_similarity(df, block=2).collect()}
     near([got[k] for k in "abcd"], [(None, None, None), (1, 0, 1), (0.70710678, 730, 0.70710678), (None, None, None)])
 
 
