@@ -42,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--batch-size", type=int)
     c.add_argument("--embed-backend", choices=("overflow", "sentences"), default="overflow")
     c.add_argument("--max-seq-length", type=int, default=512)
-    c.add_argument("--max-rows", type=int, help="take only so many rows")
+    c.add_argument("--row-chunk-size", type=int, default=100_000, help="rows that --max-chunks counts by")
+    c.add_argument("--max-chunks", type=int, help="take only the first so many chunks, by code, date and id")
+    c.add_argument("--device-memory", type=float, help="GB of the device's memory, by which the batch size is chosen; without it, a CPU's")
     c.add_argument("--include-empty-in-agg", action="store_true")
     c.add_argument("--save-npy", action="store_true")
     c.add_argument("--save-document-level", action=argparse.BooleanOptionalAction, default=True)
@@ -53,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--other", required=True, help="similarity table of the second model")
     c.add_argument("--min-docs", type=int, default=events.MIN_DOCS)
     c.add_argument("--threshold", type=float, default=events.THRESHOLD)
+    c.add_argument("--courses", type=int, default=5, help="entities whose course is written beside the output")
     command("self-similarity", "every document against its entity's earlier ones")
     for name in ("extract", "batch"):
         c = command(name, "documents of entities in a period")
@@ -65,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("preview", "the first rows, long text cut")
     c.add_argument("-n", "--rows", type=int, default=5)
     c = command("sample", "entities with long and short histories")
+    c.add_argument("--companies", help="take these codes instead")
     c = command("inspect", "counts per entity and year")
     c.add_argument("--step", choices=("load", "embed", "aggregate", "all"), default="all")
     c.add_argument("--company")
@@ -87,11 +91,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         _show(clean.tabulated(out, "p_type"))
         _show(clean.duplicates(out, "stkcd", "p_id"))
     elif args.command == "embed":
-        docs = prepared(df.limit(args.max_rows) if args.max_rows else df)
+        docs = prepared(df)
+        if args.max_chunks:
+            docs = clean.sorted_rows(docs, "stkcd", "p_date", "p_year", "p_id").limit(args.max_chunks * args.row_chunk_size)
         # equal documents without an id have one vector, which is the right one for each
         docs = docs.withColumn("_key", F.md5("text"))
         width = args.width
-        vectors = embed.embedded(docs.select("_key", "text").distinct(), "_key", "text", lambda: embed.HashingEncoder(width), args.batch_size or embed.batch_size(None), limit=embed.token_budget(args.max_seq_length) if args.embed_backend == "sentences" else args.max_seq_length, strategy=args.embed_backend)
+        vectors = embed.embedded(docs.select("_key", "text").distinct(), "_key", "text", lambda: embed.HashingEncoder(width), args.batch_size or embed.batch_size(args.device_memory, "minilm" in args.model_name.lower()), limit=embed.token_budget(args.max_seq_length) if args.embed_backend == "sentences" else args.max_seq_length, strategy=args.embed_backend)
         full = docs.join(vectors.select("_key", "embedding"), "_key").drop("_key")
         out = entity_year.entity_years(full, args.include_empty_in_agg)
         if args.output:
@@ -112,13 +118,20 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         for model in (df, other):
             _show(events.model_stats(model, args.min_docs, args.threshold))
         _show(events.first_breaks(out))
+        if args.output:
+            # the courses of the first entities whose breaks both models see, a file each, as both models tell them
+            some = [r[0] for r in out.select("stkcd").distinct().orderBy("stkcd").limit(args.courses).collect()]
+            for code in some:
+                one = events.two_model_course(df.where(F.col("stkcd") == code), other.where(F.col("stkcd") == code))
+                sinks.write_one_csv(one.orderBy("p_year"), f"{args.output}.company_{code}_trajectory.csv")
     elif args.command == "self-similarity":
         dated = df if "date" in df.columns else df.withColumn("date", F.make_date("p_year", F.lit(1), F.lit(1)))
         out = history.self_similarity(dated)
         _show(similarity.summary(out, ["sim_max", "sim_ave"]))
     elif args.command in ("extract", "batch"):
         codes = [c.strip() for c in args.codes.split(",")]
-        out = extract.extracted(df, codes, args.year, args.start_year, args.end_year)
+        # counted, looked at and written: kept as the few rows it is
+        out = extract.extracted(df, codes, args.year, args.start_year, args.end_year).persist()
         _show(extract.counts(out))
         if out.isEmpty():
             return 1
@@ -138,14 +151,28 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             sinks.write_one_csv(df.limit(args.rows), args.output)
             return 0
     elif args.command == "sample":
-        out = sampling.of_entities(df, sampling.strata(df))
-        _show(sampling.strata(df))
+        if args.companies:
+            out = extract.extracted(df, [c.strip() for c in args.companies.split(",")])
+        else:
+            chosen = sampling.strata(df.select("stkcd", "p_year").distinct())
+            out = sampling.of_entities(df, chosen)
+            _show(chosen)
     else:
         docs = prepared(df)
         docs = docs.where(F.col("stkcd") == args.company) if args.company else docs
-        _show(sampling.overview(docs))
-        _show(sampling.company_stats(docs))
         out = sampling.firm_year_stats(docs)
+        if args.step in ("load", "all"):
+            _show(sampling.overview(docs))
+            _show(sampling.company_stats(docs))
+        if args.step in ("embed", "aggregate", "all"):
+            out = embed.embedded(docs.select(F.col("p_id"), "text").distinct())
+            if args.step != "embed":
+                full = docs.join(out.select("p_id", "embedding"), "p_id")
+                out = entity_year.entity_years(full)
+                _show(entity_year.vector_stats(out))
+            if args.output:
+                sinks.write_csv(sinks.wide(out.drop("embedding_citw"), 64), args.output)
+                return 0
     if args.output:
         sinks.write_parquet(out, args.output)
     else:

@@ -52,6 +52,11 @@ def count_or_zero(c: Column) -> Column:
     return F.greatest(F.nanvl(F.coalesce(number, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
 
+def is_invalid_count(c: Column) -> Column:
+    """Whether a value is there and is no number."""
+    return c.isNotNull() & (c.try_cast("double").isNull() | F.isnan(c.try_cast("double")))
+
+
 def year_of(c: Column) -> Column:
     """An int, or null where the value is no whole number."""
     number = c.try_cast("double")
@@ -75,3 +80,17 @@ def short_model_name(name: str, known: dict[str, str] | None = None) -> str:
         "distiluse-base-multilingual-cased-v2": "distiluse",
     }
     return known.get(name, name.split("-")[0].lower())
+
+
+def short_model_name_of(c: Column) -> Column:
+    """``short_model_name`` of a column of names without known short forms."""
+    return F.lower(F.split_part(c, F.lit("-"), F.lit(1)))
+
+
+def file_name(c: Column) -> Column:
+    """A text as part of a file's name: spaces become underscores."""
+    return F.replace(c, F.lit(" "), F.lit("_"))
+
+
+def is_small_model(c: Column) -> Column:
+    return F.contains(F.lower(c), F.lit("minilm"))

@@ -51,3 +51,8 @@ def mean_of(vectors: Column) -> Column:
 def divided(sums: Column, count: Column, tolerance: float = TOLERANCE) -> Column:
     """sums / count; a vector of NaN where the count is (nearly) zero."""
     return F.when(count > tolerance, F.transform(sums, lambda x: x / count)).otherwise(F.transform(sums, lambda x: F.lit(float("nan"))))
+
+
+def without_missing(v: Column) -> Column:
+    """The elements that are there and are numbers."""
+    return F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -82,10 +82,24 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def tabulated(df: DataFrame, column: str) -> DataFrame:
-    """Frequencies with missing values as a row, and shares of all rows."""
+    """Frequencies with missing values as a row, and shares of all rows, in one scan."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("freq"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).select(column, "freq", (F.col("freq") / F.col("total")).alias("share"))
+    # one row per value stands in the window, which has no more of them than the report
+    return counts.select(column, "freq", (F.col("freq") / F.sum("freq").over(Window.partitionBy(F.lit(1)))).alias("share"))
+
+
+def invalid_counts(df: DataFrame, column: str = "p_cite") -> DataFrame:
+    """n_rows, n_invalid: how many values are there and are no number (they count as 0)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(S.is_invalid_count(F.col(column).cast("string"))).alias("n_invalid"))
+
+
+def order_breaks(df: DataFrame, ordinal: str, entity: str = "stkcd", year: str = "p_year") -> DataFrame:
+    """n_rows, n_breaks: entity's rows, taken by ``ordinal``, whose year is before the one of the row before.
+
+    Operators here state the order they need and never rely on that of a file; this tells whether a file had it.
+    """
+    before = F.lag(year).over(Window.partitionBy(entity).orderBy(ordinal))
+    return df.select((F.col(year) < before).alias("b")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("b").alias("n_breaks"))
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

@@ -27,20 +27,26 @@ def previewed(df: DataFrame, n: int = 5, width: int = 200) -> DataFrame:
     return df.limit(n).select(*shown)
 
 
+#: The parts of a report.
+HEAD = "# 公司 %s 专利文本提取报告\n\n**提取范围**: %s  \n**专利总数**: %d 件  \n**数据日期**: %s\n\n---\n"
+YEAR = "## %d年 (%d件专利)\n"
+BLOCK = "### 专利 %s\n\n- **申请日**: %s  \n- **专利类型**: %s  \n- **被引证次数**: %s  \n- **IPC分类**: %s\n\n**标题**: %s\n\n**摘要**: %s\n\n---\n"
+
+
 def report(found: DataFrame, code: str, span: str, today=None) -> DataFrame:
     """Markdown (ord, value): a heading, a section per year with its count, a block per document."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c in found.columns else F.lit("N/A")
     day = F.coalesce(F.lit(today).cast("date"), F.current_date()).cast("string")
     head = found.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(-1).alias("p_year"), F.lit(0).alias("k"),
-        F.format_string("# 公司 %s 专利文本提取报告\n\n**提取范围**: %s  \n**专利总数**: %d 件  \n**数据日期**: %s\n\n---\n", F.lit(code), F.lit(span), "n", day).alias("value"),
+        F.format_string(HEAD, F.lit(code), F.lit(span), "n", day).alias("value"),
     )
-    years = found.groupBy("p_year").agg(F.count(F.lit(1)).alias("n")).select("p_year", F.lit(0).alias("k"), F.format_string("## %d年 (%d件专利)\n", "p_year", "n").alias("value"))
+    years = found.groupBy("p_year").agg(F.count(F.lit(1)).alias("n")).select("p_year", F.lit(0).alias("k"), F.format_string(YEAR, "p_year", "n").alias("value"))
     place = Window.partitionBy("p_year").orderBy(*(F.asc_nulls_last(c) for c in ("p_date", "p_id") if c in found.columns), "p_year")
     blocks = found.select(
         "p_year", F.row_number().over(place).alias("k"),
         F.format_string(
-            "### 专利 %s\n\n- **申请日**: %s  \n- **专利类型**: %s  \n- **被引证次数**: %s  \n- **IPC分类**: %s\n\n**标题**: %s\n\n**摘要**: %s\n\n---\n",
+            BLOCK,
             text("p_id"), text("p_date"), text("p_type"), text("p_cite"), text("p_ipc"), text("p_tt"), text("p_abs"),
         ).alias("value"),
     )

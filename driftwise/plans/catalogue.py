@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import vectors as V
 from ..operators import clean, embed, entity_year, events, extract, history, sampling, similarity
 from . import pseudo as P
 
@@ -121,8 +122,57 @@ def events_both_models(spark, sf_dir) -> DataFrame:
 
 def trajectories(spark, sf_dir) -> DataFrame:
     out = events.trajectories(_simple(spark, sf_dir))
-    low = F.concat_ws(";", F.transform("low_sim_years", lambda x: x["p_year"].cast("string")))
-    return out.select("stkcd", F.size("years").cast("long").alias("n_years"), F.concat_ws(";", F.transform("years", lambda x: x.cast("string"))).alias("years"), F.concat_ws(";", F.transform("patents", lambda x: x.cast("string"))).alias("patents"), low.alias("low_years"))
+    shown = lambda c, f: F.concat_ws(";", F.transform(c, f))
+    low = shown("low_sim_years", lambda x: F.concat_ws(":", x["p_year"].cast("string"), F.format_string("%.3f", F.round(x["sim"], 3)), x["n_patents"].cast("string")))
+    return out.select(
+        "stkcd", F.size("years").cast("long").alias("n_years"), shown("years", lambda x: x.cast("string")).alias("years"), shown("similarities", lambda x: F.format_string("%.3f", x)).alias("similarities"),
+        shown("patents", lambda x: x.cast("string")).alias("patents"), low.alias("low"),
+    )
+
+
+def breaks_in_order(spark, sf_dir) -> DataFrame:
+    """Breaks with their place from the lowest similarity up."""
+    found = events.ranked(events.breaks(_simple(spark, sf_dir)))
+    return found.select("stkcd", "p_year", F.row_number().over(Window.orderBy(F.round("cos_sim_lag1", 9), "stkcd", "p_year")).alias("place"))
+
+
+def order_check(spark, sf_dir) -> DataFrame:
+    return clean.order_breaks(P.documents(spark, sf_dir, texts=False), "p_id")
+
+
+def invalid_citations(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.when(k % 7 == 0, "abc").when(k % 7 == 1, "-3").when(k % 7 == 2, " 7 ").when(k % 7 == 3, "NaN").when(k % 7 == 4, k.cast("string"))
+    return clean.invalid_counts(P.read(spark, sf_dir, "orders").select(raw.alias("p_cite")))
+
+
+def names_of_files(spark, sf_dir) -> DataFrame:
+    name = F.concat_ws("-", F.initcap("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.lit("MiniLM-L12")))
+    return P.read(spark, sf_dir, "part").select("p_partkey", S.file_name(F.col("p_name")).alias("file_name"), S.short_model_name_of(name).alias("short_name"), S.is_small_model(name).alias("small"))
+
+
+def missing_dropped(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    cells = F.array(F.when(k % 3 != 0, (k % 10).cast("double")), F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(F.lit(2.0)), F.lit(None).cast("double"))
+    left = V.without_missing(cells)
+    return P.read(spark, sf_dir, "orders").select(k.alias("p_id"), F.size(left).cast("long").alias("n"), F.aggregate(left, F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def entity_year_fallbacks(spark, sf_dir) -> DataFrame:
+    """Entity-years where some have only empty texts and some no citations, by a rule on their keys."""
+    docs = P.embedded(spark, sf_dir, "a").withColumnRenamed("e_a", "embedding")
+    f = F.col("stkcd").cast("int")
+    docs = docs.withColumn("text_is_empty", F.col("text_is_empty") | (f % 4 == 1)).withColumn("p_cite", F.when(f % 3 == 0, 0.0).otherwise(F.col("p_cite")))
+    years = entity_year.entity_years(docs)
+    sums = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return rounded(years.select("stkcd", "p_year", "n_patents", "n_texts_used", "total_citations", "mean_citations", sums("embedding").alias("plain"), sums("embedding_citw").alias("weighted")))
+
+
+def dates(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.when(k % 5 == 0, "no date").when(k % 5 == 1, "2001-02-30").when(k % 5 == 2, F.col("o_orderdate").cast("date").cast("string"))
+    date = S.date_of(raw)
+    return P.read(spark, sf_dir, "orders").select(k.alias("p_id"), date.alias("p_date"), F.datediff(date, F.make_date(F.year(date), F.lit(1), F.lit(1))).alias("days"))
 
 
 def _self_docs(spark, sf_dir) -> DataFrame:
@@ -155,6 +205,11 @@ def chunk_text(spark, sf_dir) -> DataFrame:
     return embed.chunked(docs, limit=128, strategy="sentences").select("p_id", "chunk_no", "n_tokens", F.length("chunk").alias("n_chars"))
 
 
+def chunk_windows(spark, sf_dir) -> DataFrame:
+    docs = P.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_id"), "text")
+    return embed.chunked(docs, limit=128).select("p_id", "chunk_no", "n_tokens", F.md5("chunk").alias("chunk_md5"))
+
+
 def _report(spark, sf_dir) -> DataFrame:
     return extract.report(_extract(spark, sf_dir), "7", "1996-1998", "2024-01-01")
 
@@ -202,6 +257,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_stats": lambda s, d: rounded(entity_year.vector_stats(_years(s, d))),
     "embed_hash": embed_hash,
     "chunk_text": chunk_text,
+    "chunk_windows": chunk_windows,
+    "breaks_in_order": breaks_in_order,
+    "order_check": order_check,
+    "invalid_citations": invalid_citations,
+    "names_of_files": names_of_files,
+    "missing_dropped": missing_dropped,
+    "entity_year_fallbacks": entity_year_fallbacks,
+    "dates": dates,
+    "one_course": lambda s, d: rounded(events.one_course(_simple(s, d))),
     "chunk_stats": lambda s, d: embed.chunk_stats(embed.chunked(P.read(s, d, "documents").select(F.col("doc_id").alias("p_id"), "text"), limit=128)),
     "report_markdown": lambda s, d: _report(s, d).select("p_year", "k", "value"),
 }
@@ -221,6 +285,15 @@ def _summary_sql(source: str, measures) -> str:
 _COMMON = f"select a.stkcd, a.p_year as year, a.n_patents, {{}} from sim_a a join sim_b b on a.stkcd = b.stkcd and a.p_year = b.p_year where {_BREAK.format(m='a')} and {_BREAK.format(m='b')}".format("round(a.cos_sim_lag1, 6) + 0.0 as minilm_sim, round(b.cos_sim_lag1, 6) + 0.0 as distiluse_sim")
 _SHORT = "spans as (select distinct stkcd, p_year from docs where not (stkcd < '000010' and p_year > 1995 + cast(stkcd as int))), n as (select stkcd, count(*) as n_years, min(p_year) || '-' || max(p_year) as year_range from spans group by all)"
 _EXTRACT = "p_year between 1996 and 1998 and stkcd in ('000007', '000012', '000033')"
+_BLOCKS = """blocks as (select p_year, row_number() over (partition by p_year order by p_date, p_id) as k, '### 专利 ' || p_id || chr(10) || chr(10) || '- **申请日**: ' || p_date || '  ' || chr(10) || '- **专利类型**: ' || p_type || '  ' || chr(10)
+  || '- **被引证次数**: ' || coalesce(p_cite::varchar, 'N/A') || '  ' || chr(10) || '- **IPC分类**: N/A' || chr(10) || chr(10) || '**标题**: ' || p_tt || chr(10) || chr(10) || '**摘要**: ' || p_abs || chr(10) || chr(10) || '---' || chr(10) as value from found)"""
+REPORT_SQL = f"""with {P.TEXTS_SQL}, found as (select * from texts where {_EXTRACT}), {_BLOCKS}
+select -1 as p_year, 0 as k, '# 公司 7 专利文本提取报告' || chr(10) || chr(10) || '**提取范围**: 1996-1998  ' || chr(10) || '**专利总数**: ' || count(*) || ' 件  ' || chr(10) || '**数据日期**: 2024-01-01' || chr(10) || chr(10) || '---' || chr(10) as value from found
+union all select p_year, 0, '## ' || p_year || '年 (' || count(*) || '件专利)' || chr(10) from found group by p_year union all select p_year, k, value from blocks"""
+_SENTENCES = f"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([。；;!?！？.])\\s+', '\\1' || chr(1), 'g'), '[\\x01\\n]+'), lambda x: regexp_replace(x, '^{P.EMPTY}|{P.EMPTY}$', '', 'g')), lambda x: x <> '')"""
+#: Words and single marks of a text, in order.
+_TOKENS = "regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')"
+_WINDOWS = f"w as (select doc_id as p_id, {_TOKENS} as t from documents), parts as (select p_id, unnest(range(greatest(1, cast(ceil(len(t) / 128.0) as int)))) as c, t from w), cut as (select p_id, c as chunk_no, t[128 * c + 1:128 * c + 128] as t from parts)"
 _PROFILE = ("stkcd", "p_year", "p_id", "p_date", "p_tt", "p_abs", "p_cite", "p_type")
 
 ORACLES: dict[str, str] = {
@@ -245,7 +318,8 @@ ORACLES: dict[str, str] = {
     "events_single_model": _events_sql(f"select stkcd, p_year, n_patents, {_R('cos_sim_lag1')}, round(1 - cos_sim_lag1, 6) + 0.0 as sim_drop from sim_a where {_BREAK.format(m='sim_a')}", "a"),
     "events_both_models": _events_sql(_COMMON),
     "events_top20": _events_sql(_COMMON + " order by 1, 2 limit 20"),
-    "trajectories": _events_sql("""select stkcd, count(*) as n_years, string_agg(p_year::varchar, ';' order by p_year) as years, string_agg(n_patents::varchar, ';' order by p_year) as patents, string_agg(p_year::varchar, ';' order by p_year) filter (cos_sim_lag1 < 0.5) as low_years
+    "trajectories": _events_sql("""select stkcd, count(*) as n_years, string_agg(p_year::varchar, ';' order by p_year) as years, string_agg(format('{:.3f}', round(cos_sim_lag1, 3) + 0.0), ';' order by p_year) as similarities, string_agg(n_patents::varchar, ';' order by p_year) as patents,
+  string_agg(p_year::varchar || ':' || format('{:.3f}', round(cos_sim_lag1, 3) + 0.0) || ':' || n_patents::varchar, ';' order by p_year) filter (cos_sim_lag1 < 0.5) as low
 from sim_a where cos_sim_lag1 is not null and n_patents >= 5 group by stkcd having count(*) >= 4 and count(*) filter (cos_sim_lag1 < 0.5) > 0""", "a"),
     "trajectory_two_model": _events_sql("select a.stkcd, a.p_year, a.n_patents, a.n_texts_used, round(a.cos_sim_lag1, 6) + 0.0 as cos_sim_lag1_minilm, round(a.cos_sim_lag3, 6) + 0.0 as cos_sim_lag3, round(a.cos_sim_cumulative, 6) + 0.0 as cos_sim_cumulative, round(b.cos_sim_lag1, 6) + 0.0 as cos_sim_lag1_distiluse from sim_a a join sim_b b on a.stkcd = b.stkcd and a.p_year = b.p_year"),
     "model_stats": _events_sql("select count(*) as n, round(avg(cos_sim_lag1), 6) + 0.0 as mean, round(median(cos_sim_lag1), 6) + 0.0 as median, round(stddev_samp(cos_sim_lag1), 6) + 0.0 as sd, count(*) filter (cos_sim_lag1 < 0.5) as n_breaks from sim_a where cos_sim_lag1 is not null and n_patents >= 5", "a"),
@@ -264,11 +338,30 @@ select * from s where stratum is not null qualify row_number() over (partition b
     "extract_firm_years": f"with {P.TEXTS_SQL} select stkcd, p_year, p_date, p_id, p_tt from texts where {_EXTRACT}",
     "batch_extract_counts": f"with {P.DOCS_SQL} select stkcd, count(*) as n, min(p_year) as first_year, max(p_year) as last_year from docs where {_EXTRACT} group by stkcd",
     "preview_truncated": "select doc_id, case when length(text) > 200 then left(text, 200) || '...' else text end as shown from documents",
+    "sentence_split": f"with s as (select doc_id, {_SENTENCES} as s from documents) select doc_id, cast(len(s) as int) as n_sentences, md5(array_to_string(s, ' ')) as joined_md5 from s",
+    "chunk_windows": f"with {_WINDOWS} select p_id, cast(chunk_no as int) as chunk_no, cast(len(t) as int) as n_tokens, md5(array_to_string(t, ' ')) as chunk_md5 from cut",
+    "chunk_stats": f"with {_WINDOWS} select count(distinct p_id) as n_texts, count(*) as n_chunks, cast(sum(len(t)) as bigint) as n_tokens, count(*) / count(distinct p_id) as chunks_per_text, sum(len(t)) / count(*) as tokens_per_chunk from cut",
+    "report_markdown": REPORT_SQL,
+    "breaks_in_order": _events_sql(f"select stkcd, p_year, cast(row_number() over (order by round(cos_sim_lag1, 9), stkcd, p_year) as int) as place from sim_a where {_BREAK.format(m='sim_a')}", "a"),
+    "order_check": f"with {P.DOCS_SQL}, b as (select p_year < lag(p_year) over (partition by stkcd order by p_id) as b from docs) select count(*) as n_rows, count(*) filter (b) as n_breaks from b",
+    "invalid_citations": "select count(*) as n_rows, count(*) filter (o_orderkey % 7 in (0, 3)) as n_invalid from orders",
+    "names_of_files": "select p_partkey, replace(p_name, ' ', '_') as file_name, lower(string_split(p_name || case when p_partkey % 2 = 0 then '-MiniLM-L12' else '' end, '-')[1]) as short_name, p_partkey % 2 = 0 as small from part",
+    "missing_dropped": "select o_orderkey as p_id, cast(o_orderkey % 3 <> 0 as bigint) + cast(o_orderkey % 5 <> 0 as bigint) as n, case when o_orderkey % 3 <> 0 then cast(o_orderkey % 10 as double) else 0 end + case when o_orderkey % 5 <> 0 then 2.0::double else 0.0::double end as total from orders",
+    "entity_year_fallbacks": f"""with {P.DOCS_SQL}, {P.years_sql('a').replace("own.i, base.v", "own.i, base.v").replace('d.blank, coalesce(d.p_cite, 0) as c', 'd.blank or d.f % 4 = 1 as blank, case when d.f % 3 = 0 then 0 else coalesce(d.p_cite, 0) end as c')}
+select stkcd, p_year, max(n) as n_patents, max(case when n_full = 0 then n else n_full end) as n_texts_used, round(max(total), 6) + 0.0 as total_citations, round(max(total) / max(n), 6) + 0.0 as mean_citations, round(sum(v), 6) + 0.0 as plain, round(sum(w), 6) + 0.0 as weighted from fy_a group by stkcd, p_year""",
+    "dates": "select o_orderkey as p_id, case when o_orderkey % 5 = 2 then cast(o_orderdate as date) end as p_date, cast(case when o_orderkey % 5 = 2 then datediff('day', make_date(year(o_orderdate), 1, 1), cast(o_orderdate as date)) end as int) as days from orders",
+    "one_course": f"{_SIM} select stkcd, p_year, n_patents, n_texts_used, {', '.join(_R(n) for n in NAMES)} from sim_a where stkcd = (select min(stkcd) from (select stkcd from sim_a group by stkcd having count(*) >= 5))",
     "vector_stats": f"{_A} select round(min(v), 6) + 0.0 as min, round(max(v), 6) + 0.0 as max, round(avg(v), 6) + 0.0 as mean, round(stddev_pop(v), 6) + 0.0 as std, round((select avg(nrm) from (select sqrt(sum(v * v)) as nrm from fy_a group by stkcd, p_year)), 6) + 0.0 as mean_norm from fy_a",
 }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import files
+
+    return QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from . import files
+
+    return ORACLES | files.ORACLES

@@ -32,8 +32,8 @@ def optional(spark: SparkSession, path: str, read=None) -> DataFrame | None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Columns as stated; codes keep their zeros, and a byte order mark is no part of the header."""
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    """Columns as stated; codes keep their zeros, a byte order mark is no part of the header, and a quoted empty cell is an empty text, a bare one null."""
+    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', nullValue="\x00")
 
 
 def read_wide_vectors(spark: SparkSession, path: str, keys: str, pattern: str = r"^emb_\d+$") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import short_model_name
@@ -28,8 +28,15 @@ def bundle_name(prefix: str, model: str) -> str:
 
 
 def write_bundle(years: DataFrame, folder: str, model: str, width: int, formats=("parquet", "csv")) -> list[str]:
-    """The plain and the weighted table of an entity-year result, under the model's names, empty or not."""
+    """The plain and the weighted table of an entity-year result, under the model's names, empty or not.
+
+    The result is computed once: the first table is written with both vectors and the others are read from it.
+    """
     made = []
+    whole = f"{folder}/.{bundle_name('firm_year', model)}.whole"
+    schema = years.schema
+    write_parquet(years, whole)
+    years = years.sparkSession.read.schema(schema).parquet(whole)
     meta = [c for c in years.columns if c not in ("embedding", "embedding_citw")]
     for prefix, vector in (("firm_year", "embedding"), ("firm_year_citweighted", "embedding_citw")):
         df = years.select(*meta, F.col(vector).alias("embedding"))
@@ -37,18 +44,45 @@ def write_bundle(years: DataFrame, folder: str, model: str, width: int, formats=
             path = f"{folder}/{bundle_name(prefix, model)}.{kind}"
             write_parquet(df, path) if kind == "parquet" else write_csv(wide(df, width), path)
             made.append(path)
+    delete(years.sparkSession, whole)
     return made
 
 
-def write_one_csv(df: DataFrame, path: str) -> None:
-    """One local CSV file with a byte order mark, rows streamed through the driver in the frame's order."""
-    import csv
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            out.writerow(["" if v is None else v for v in row])
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a byte order mark, rows in the frame's order, on any file system that Spark reaches.
+
+    Tasks write their parts as CSV; the driver only joins the parts' bytes.
+    """
+    parts = f"{path}.parts"
+    df.write.mode("overwrite").option("escape", '"').csv(parts, header=False)
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') else c for c in df.columns)
+    join_parts(df.sparkSession, parts, path, ("\ufeff" + head + "\n").encode())
+
+
+def join_parts(spark: SparkSession, parts: str, path: str, head: bytes = b"") -> None:
+    """The files of a folder, by name, as one file behind ``head``; the folder goes."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    names = sorted(str(f.getPath().toString()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head))
+        for name in names:
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def write_npy(df: DataFrame, path: str, keys: list[str], vector: str = "embedding") -> None:
@@ -70,7 +104,12 @@ def write_npy(df: DataFrame, path: str, keys: list[str], vector: str = "embeddin
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One local text file of the column ``value``, in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        for row in lines.select("value").toLocalIterator():
-            f.write(f"{row[0]}\n")
+    """One text file of the column ``value``, in order."""
+    parts = f"{path}.parts"
+    lines.select("value").write.mode("overwrite").text(parts)
+    join_parts(lines.sparkSession, parts, path)
+
+
+def write_stata(df: DataFrame, path: str) -> None:
+    """One local Stata file. The format is one file with its number of rows in front, so rows pass through the driver; Parquet has no such bound."""
+    df.toPandas().to_stata(path.removeprefix("file://"), write_index=False, version=118)
