@@ -7,14 +7,21 @@ two-state chain are log-odds, so a batch of documents is one vector per step.
 The marginals, weighted by the lines' lengths, give a document's quality, and a
 logistic map fitted on the training documents turns it into the score.
 
-Training lines carry their document's label. The model is fitted on the driver
-by full-batch gradient ascent from at most ``SAMPLE`` labelled documents of the
-training folds and at most ``LINES`` lines of each; scoring reads every line of
-every document.
+Labels are known of documents only. Every line of a good one counts as good; a
+bad one may hold good lines, so its lines' labels are latent. They are found in
+turns: a model without links between lines first tells which lines of bad
+documents look good, at most ``BOUND`` of a document's bytes (the least likely
+ones stay bad); the chain is fitted on these labels, and tells again. So chains
+change label where documents do, and a clean line beside junk stays good.
+
+The model is fitted on the driver by full-batch gradient ascent from at most
+``SAMPLE`` labelled documents of the training folds, all lines of each (a
+document of very many lines as several chains); scoring reads every line of every document.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +33,9 @@ from pyspark.sql import functions as F
 from .bytes_of import chunks, word_prints, words
 from .shared import sliced, table
 
-SAMPLE, LINES, ROUNDS, RATE, L2 = 3_000, 64, 150, 0.15, 1e-3
+SAMPLE, ROUNDS, RATE, L2 = 3_000, 150, 0.15, 1e-3
+#: Turns of labelling and fitting, greatest share of good bytes in a bad document, and lines of one chain in training.
+TURNS, BOUND, CHAIN = 2, 0.5, 256
 FOLDS, THRESHOLD = 5, 0.3
 
 _UPPER = np.zeros(256, np.uint8)
@@ -127,11 +136,14 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
+    def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The probability of every line to be good."""
+        f, b = messages(with_neighbours(x, first) @ self.w, first, self.good, self.bad)
+        return _sigmoid(f + b)
+
     def quality(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the marginals, as log-odds."""
-        e = with_neighbours(x, first) @ self.w
-        f, b = messages(e, first, self.good, self.bad)
-        p = _sigmoid(f + b)
+        p = self.marginals(x, first)
         weight = size + 1.0
         total = np.add.reduceat(np.r_[p * weight, 0], first[:-1]) / np.add.reduceat(np.r_[weight, 0], first[:-1])
         total = np.clip(total, 1e-6, 1 - 1e-6)
@@ -141,13 +153,23 @@ class Model:
         return _sigmoid(self.slope * self.quality(x, size, first) + self.shift)
 
 
-def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """Maximises the conditional likelihood of the lines' labels, both labels counting alike; then the score's map."""
-    v = with_neighbours(x, first)
+def line_labels(p: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, bound: float = BOUND) -> np.ndarray:
+    """1 for every line of a good document and for lines of a bad one that are likely good, up to ``bound`` of its bytes."""
     n = np.diff(first)
-    y = np.repeat(label.astype(float), n)
-    doc = 1.0 / np.where(label == 1, max(1, (label == 1).sum()), max(1, (label == 0).sum())) / np.maximum(1, n)
-    c = np.repeat(doc, n)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((p, of))
+    weight = size[order] + 1.0
+    upto = np.cumsum(weight)
+    start = np.r_[0, upto][first[:-1]]
+    total = np.r_[0, upto][first[1:]] - start
+    # the least likely lines stay bad until they hold the rest of the bytes
+    forced = np.empty(len(p), bool)
+    forced[order] = upto - weight - start[of] < (1 - bound) * total[of] - 1e-9
+    return np.where(label[of] == 1, 1.0, ((p > 0.5) & ~forced).astype(float))
+
+
+def _ascend(v: np.ndarray, first: np.ndarray, y: np.ndarray, c: np.ndarray, chain: bool, rounds: int, rate: float) -> Model:
+    """Maximises the conditional likelihood of the lines' labels ``y``, each weighted by ``c``."""
     inner = np.ones(len(y), bool)
     inner[first[1:] - 1] = False
     left = np.flatnonzero(inner)
@@ -156,18 +178,35 @@ def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, r
     for k in range(1, rounds + 1):
         w, good, bad = p[:-2], p[-2], p[-1]
         e = v @ w
-        f, b = messages(e, first, good, bad)
-        g = np.empty_like(p)
+        g = np.zeros_like(p)
+        f, b = messages(e, first, good, bad) if chain else (e, np.zeros_like(e))
         g[:-2] = v.T @ (c * (y - _sigmoid(f + b))) - L2 * w
-        x_, z_ = f[left], e[left + 1] + b[left + 1]
-        pair = np.stack([np.full(len(left), bad), z_, x_, x_ + z_ + good])
-        pair = np.exp(pair - pair.max(axis=0))
-        pair /= pair.sum(axis=0)
-        g[-2] = (c[left] * (y[left] - pair[3])).sum() - L2 * good
-        g[-1] = (c[left] * ((1 - y[left]) - pair[0])).sum() - L2 * bad
+        if chain:
+            x_, z_ = f[left], e[left + 1] + b[left + 1]
+            pair = np.stack([np.full(len(left), bad), z_, x_, x_ + z_ + good])
+            pair = np.exp(pair - pair.max(axis=0))
+            pair /= pair.sum(axis=0)
+            one, two = y[left], y[left + 1]
+            g[-2] = (c[left] * (one * two - pair[3])).sum() - L2 * good
+            g[-1] = (c[left] * ((1 - one) * (1 - two) - pair[0])).sum() - L2 * bad
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         p = p + rate * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-    model = Model(p[:-2], float(p[-2]), float(p[-1]))
+    return Model(p[:-2], float(p[-2]), float(p[-1]))
+
+
+def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The chain from documents' labels, both counting alike, by turns of labelling lines and fitting; then the score's map."""
+    v = with_neighbours(x, first)
+    n = np.diff(first)
+    doc = 1.0 / np.where(label == 1, max(1, (label == 1).sum()), max(1, (label == 0).sum())) / np.maximum(1, n)
+    c = np.repeat(doc, n)
+    # long documents step as several chains
+    cuts = np.unique(np.concatenate([first, *(np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True) if b - a > CHAIN)]))
+    y = np.repeat(label.astype(float), n)
+    model = _ascend(v, cuts, y, c, False, rounds, rate)
+    for _ in range(TURNS):
+        y = line_labels(model.marginals(x, first), size, first, label)
+        model = _ascend(v, cuts, y, c, True, rounds, rate)
     q = model.quality(x, size, first)
     weight = doc * np.maximum(1, n)
     a, d = 1.0, 0.0
@@ -179,16 +218,14 @@ def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, r
     return model
 
 
-def _featured(lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for a, b, data, offsets in chunks(batch.column("text")):
-                x, size, first = line_features(data, offsets)
-                rows = [x[first[r] : min(first[r + 1], first[r] + lines)].reshape(-1).tolist() for r in range(b - a)]
-                sizes = [size[first[r] : min(first[r + 1], first[r] + lines)].tolist() for r in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(rows, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int64()))], names=["label", "x", "size"])
-
-    return run
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        for a, b, data, offsets in chunks(batch.column("text")):
+            x, size, first = line_features(data, offsets)
+            rows = [x[first[r] : first[r + 1]].reshape(-1).tolist() for r in range(b - a)]
+            sizes = [size[first[r] : first[r + 1]].tolist() for r in range(b - a)]
+            own = [batch.column(c).slice(a, b - a) for c in ("id", "label")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int64()))], names=["id", "label", "x", "size"])
 
 
 def _scored(model: Model, extra: list[str]):
@@ -207,17 +244,22 @@ def fold(id_: F.Column, folds: int = FOLDS) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    """The model, from labelled documents outside fold 0; None if they don't have both labels."""
+    """The model, from labelled documents outside fold 0; None if they don't have both labels.
+
+    Null ids and labels other than 0 and 1 count for nothing; of labels that
+    repeat an id the smallest holds, and rows that repeat an id are documents each.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label).cast("long").alias("label"))
     # the same number of each label, in an order that depends on nothing but the id
     half = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for k in (0, 1)]
     chosen = half[0].unionByName(half[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     # rows in one order whatever the partitions, since sums depend on it
-    rows = texts.select("id", "label", "text").mapInArrow(_featured(LINES), "label long, x array<double>, size array<long>").toPandas()
+    rows = texts.select("id", "label", "text").mapInArrow(_featured, "id long, label long, x array<double>, size array<long>").toPandas()
     if rows["label"].nunique() < 2:
+        warnings.warn("no documents of both labels to learn from: every document scores 1", stacklevel=2)
         return None
-    rows = rows.assign(k=[str(list(x)) for x in rows["x"]]).sort_values(["label", "k"])
+    rows = rows.assign(k=[str(list(x[: len(NAMES)])) for x in rows["x"]]).sort_values(["id", "k"], kind="stable")
     width = len(NAMES)
     x = np.concatenate([np.asarray(v, float).reshape(-1, width) for v in rows["x"]])
     size = np.concatenate([np.asarray(v, np.int64) for v in rows["size"]])
@@ -258,7 +300,7 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD,
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per document: doc_id, held_out, score, predicted; a null doc_id is in no fold (null) and was not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs, model, ["doc_id"])

@@ -175,6 +175,58 @@ def test_lines_and_messages():
         assert 1 / (1 + np.exp(-(f + b)[k])) == pytest.approx(sum(w for y, w in weight.items() if y[k]) / z)
 
 
+def test_lines_of_mixed_documents_keep_their_own_labels(spark):
+    """Bad documents of clean and junk lines: clean lines stay good beside junk, and documents are told apart."""
+    rng = random.Random(12)
+    words = "the river rose slowly over many days and old bridge held until morning when people came".split()
+    clean = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(8, 20))) + "."
+    junk = lambda: " ".join(rng.choice(words).upper() + "!!" for _ in range(rng.randint(8, 20)))
+
+    def made(k):
+        if k % 3:
+            return [(clean(), 1) for _ in range(rng.randint(3, 9))], 1
+        n = rng.randint(2, 4)
+        lines = [(clean(), 1) for _ in range(n)] + [(junk(), 0) for _ in range(n + 1)]
+        return (lines if k % 2 else lines[::-1]), 0
+
+    docs = {k: made(k) for k in range(600)}
+    df = spark.createDataFrame([(k, "\n".join(t for t, _ in lines)) for k, (lines, _) in docs.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, (_, q) in docs.items()], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    held = [r.doc_id for r in df.where(quality.fold(F.col("doc_id")) == 0).collect()]
+    right = []
+    for k in held:
+        data = np.frombuffer("\n".join(t for t, _ in docs[k][0]).encode(), np.uint8)
+        x, size, first = quality.line_features(data, np.array([0, len(data)]))
+        right += [(p > 0.5) == bool(y) for p, (_, y) in zip(model.marginals(x, first), docs[k][0], strict=True)]
+    assert np.mean(right) >= 0.95
+    got = {r.doc_id: r.score for r in quality.scored(df, model, ["doc_id"]).collect()}
+    assert np.mean([(got[k] >= quality.THRESHOLD) == docs[k][1] for k in held]) >= 0.95
+
+
+def test_bad_documents_keep_bad_lines():
+    p = np.array([0.9, 0.8, 0.7, 0.95, 0.9, 0.1])
+    first, size = np.array([0, 3, 4, 6]), np.full(6, 9)
+    assert quality.line_labels(p, size, first, np.array([0, 1, 0])).tolist() == [1, 0, 0, 1, 1, 0]
+
+
+def test_op7_learns_from_training_folds_only(spark, tmp_path):
+    docs, labels, truth = labelled(spark)
+    odd = spark.createDataFrame([(None, "x"), (900, None), (901, ""), (902, "a b\n" * 3000)], "doc_id long, text string")
+    held = quality.fold(F.col("doc_id")) == 0
+    scores = []
+    for k, wrong in enumerate((F.col("quality"), F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))):
+        folder = str(tmp_path / str(k))
+        docs.select("doc_id", "text").unionByName(odd).write.parquet(folder + "/documents.parquet")
+        labels.withColumn("quality", wrong).write.parquet(folder + "/labels.parquet")
+        rows = quality.op7_quality_classifier(spark, folder).collect()
+        assert len(rows) == len(truth) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+        scores.append(sorted((str(r.doc_id), r.held_out, r.score) for r in rows))
+    assert scores[0] == scores[1]
+    known = {r.doc_id: r for r in rows if r.doc_id in truth}
+    assert np.mean([(known[k].predicted == truth[k]) for k in truth if known[k].held_out]) >= 0.95
+
+
 # --- chat
 
 PIECES = st.sampled_from(["\\", "<|", "|>", "</s>", "[INST]", "[/INST]", "<|end|>\n", "<\\|", "a", "é", "\n", "<<SYS>>", "<", "|"])
