@@ -87,11 +87,11 @@ def test_recall_at_the_threshold():
 
 
 def brute_nearest(rows, k=5):
-    good = [(i, np.array(v, float)) for i, v, *_ in rows if v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 16]
+    good = [(i, np.array(v, float)) for i, v, *_ in rows if v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
     for q, x in good:
         if q % 50 == 0:
-            out[q] = sorted((-(x @ y) / np.sqrt((x @ x) * (y @ y)), i) for i, y in good if i != q)[:k]
+            out[q] = sorted((-(x @ y) / np.sqrt((x @ x) * (y @ y)), i) for i, y in good if i != q and len(x) == len(y))[:k]
     return out
 
 
@@ -116,6 +116,45 @@ def test_fewer_candidates_than_asked(spark, tables):
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 3), (0, 2, 50), (50, 1, 3), (50, 2, 0)]
 
 
+def clustered(n=6000, d=16, seed=4):
+    """Vectors in tight clusters of about twenty."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 20, d))
+    x = centres[np.arange(n) % (n // 20)] + 0.05 * rng.standard_normal((n, d))
+    return [(k, x[k].astype(np.float32).tolist(), 1, "i", 1) for k in range(n)]
+
+
+def test_structure_is_searched_in_few_leaves(spark, tables):
+    rows = clustered()
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert neighbours.fitted_share(x, 5) < 0.4 < 0.8 < neighbours.fitted_share(np.random.default_rng(0).standard_normal((3000, 64)) / 8, 5)
+    got = {}
+    for r in neighbours.op4_approximate_nearest_neighbours(spark, tables(rows)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = 0
+    for q in range(0, len(rows), 50):
+        cos = x @ x[q]
+        cos[q] = -2
+        right += len(got[q] & set(np.argsort(-cos)[:5].tolist()))
+    assert right >= 0.9 * 5 * len(got)
+
+
+def test_a_share_of_all_trees_is_exact_whatever_the_depth(spark, tables, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    monkeypatch.setattr(neighbours, "SAMPLE", 40)
+    rows = vectors(5, 400) + [(2000 + k, rows_[:7], 1, "i", 1) for k, rows_ in ((k, r[1]) for k, r in enumerate(vectors(6, 60)[:60]))]
+    df = spark.read.parquet(f"{tables(rows)}/embeddings.parquet")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, share=4.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    good = [(i, np.array(v, float)) for i, v, *_ in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    for q, a in good:
+        if q % 50 == 0:
+            want = sorted((-round(a @ b / np.sqrt((a @ a) * (b @ b)), 12), i) for i, b in good if i != q and len(a) == len(b))[:5]
+            assert got[q] == [i for _, i in want], q
+
+
 def test_parts_of_leaves_change_nothing(spark, tables, monkeypatch):
     rows = vectors(3, 400)
     folder = tables(rows)
