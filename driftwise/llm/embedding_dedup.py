@@ -8,10 +8,13 @@ neighbouring cells whose lattice points come next nearest. Vectors that meet are
 verified by cosine in double precision, so no reported link is wrong; at a
 cosine of 0.98 a link is missed with a probability measured below 0.001.
 
-Exact copies are collapsed before hashing, and cells hold ids only; vectors
-travel once to the candidate pairs. Links between different vectors are the
-operator's output (their number per vector is asked for), so a group of n
-mutually linked different vectors costs n^2 / 2 verifications.
+Exact copies are collapsed before hashing. Where few vectors meet, pairs are
+formed and their vectors fetched once. A cell where many meet many is crowded:
+its vectors are compared as blocks of a matrix, and what leaves a block is a
+number of links and one edge to a representative per vector, so a group of n
+mutually linked vectors makes rows in proportion to n, not to its square. A pair
+that meets in several crowded cells is counted in the one with the least name,
+and one that meets in any of them is not counted as a pair.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import connected_components, sliced, stored, table
 
 TABLES, BLOCKS, PROBES, SCALE, SEED = 4, 2, 24, 0.68, 2011
+#: Pairs for each vector that meets others in a cell, beyond which the cell is crowded, and vectors in one side of a block.
+PAIRS, SIDE = 2, 1024
 
 
 def e8_nearest(x: np.ndarray) -> np.ndarray:
@@ -149,46 +154,147 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of ``a`` with those of ``b``, one by one."""
+    return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.repeat(np.arange(len(column)), np.array(column.value_lengths().fill_null(0))), np.array(column.flatten())
+
+
+def _shared(own: pa.Array, visited: pa.Array, n: int) -> np.ndarray:
+    """Whether a row's lists have a value in common."""
+    (ro, vo), (rv, vv) = _lists(own), _lists(visited)
+    both = np.unique(np.c_[np.r_[ro, rv], np.r_[vo, vv], np.r_[np.zeros(len(ro), np.int64), np.ones(len(rv), np.int64)]], axis=0)
+    same = (both[1:, :2] == both[:-1, :2]).all(axis=1)
+    out = np.zeros(n, bool)
+    out[both[1:, 0][same]] = True
+    return out
+
+
 def _close(threshold: float):
+    """Links among pairs that meet in no crowded cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            same = np.array(batch.column("wa")) == np.array(batch.column("wb"))
-            part = batch.filter(pa.array(same))
-            keep = np.zeros(len(part), bool)
+            part = batch.filter(pa.array(np.array(batch.column("wa")) == np.array(batch.column("wb"))))
+            if len(part):
+                crowded = _shared(part.column("oa"), part.column("cb"), len(part)) | _shared(part.column("ob"), part.column("ca"), len(part))
+                part = part.filter(pa.array(~crowded))
             cos = np.zeros(len(part))
             widths = np.array(part.column("wa"))
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
-                a, b = (_matrix(part.column(c).take(pa.array(at))) for c in ("va", "vb"))
-                cos[at] = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-            keep = cos >= threshold
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep)), pa.array(cos[keep])], names=["a", "b", "cosine"])
+                cos[at] = _cosines(*(_matrix(part.column(c).take(pa.array(at))) for c in ("va", "vb")))
+            keep = pa.array(cos >= threshold)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(cos).filter(keep)], names=["a", "b", "cosine"])
 
     return run
 
 
-def near_copies(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Links of equally labelled vectors with cosine >= ``threshold``.
+def _block(threshold: float):
+    """Of one block of a crowded cell: every linked vector's number of links counted here, and the least id it reaches."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, cell = (group.column(c)[0].as_py() for c in ("i", "j", "cell"))
+        side = np.array(group.column("side"))
+        one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        ids, copies, own = (np.array(group.column(c)) for c in ("id", "copies", "own"))
+        v = _matrix(group.column("v"))
+        unit = v / np.linalg.norm(v, axis=1)[:, None]
+        cos = unit[one] @ unit[two].T
+        link = cos >= threshold
+        # by the stated measure where rounding could tell otherwise
+        r, c = np.nonzero(np.abs(cos - threshold) < 1e-9)
+        link[r, c] = _cosines(v[one[r]], v[two[c]]) >= threshold
+        link &= own[one][:, None] | own[two][None, :]
+        link &= ids[one][:, None] != ids[two][None, :]
+        counted = link & ~_met_before(group, one, two, cell) if link.any() else link
+        n = np.zeros(len(ids), np.int64)
+        n[one] += counted @ copies[two]
+        if i != j:
+            n[two] += counted.T @ copies[one]
+        # the least id reachable within the block
+        least, none = ids.copy(), np.iinfo(np.int64).max
+        while len(one) and len(two):
+            now = least.copy()
+            now[one] = np.minimum(now[one], np.where(link, least[two][None, :], none).min(axis=1))
+            now[two] = np.minimum(now[two], np.where(link, now[one][:, None], none).min(axis=0))
+            if (now == least).all():
+                break
+            least = now
+        out = np.flatnonzero((n > 0) | (least != ids))
+        return pa.table({"id": pa.array(ids[out]), "n": pa.array(n[out]), "to": pa.array(least[out])})
+
+    return run
+
 
-    Returns (classes, links). classes: id, rep (smallest id with the very same
-    label and vector), copies. links: a < b between representatives, cosine.
-    Rows whose label is null or whose vector is null, empty, zero or holds null
-    or non-finite components are in neither. Vectors of different widths never
-    link. Other columns of ``vectors`` are not read.
+def _met_before(group: pa.Table, one: np.ndarray, two: np.ndarray, cell: int) -> np.ndarray:
+    """Which pairs meet in a crowded cell of a lesser name: one of them owns it and the other looks it up."""
+    (ro, vo), (rv, vv) = (_lists(group.column(c)) for c in ("owned", "crowded"))
+    names = np.unique(vo[vo < cell])
+    met = np.zeros((len(one), len(two)), bool)
+    for start in range(0, len(names), 1024):
+        some = names[start : start + 1024]
+
+        def table(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(some, value), len(some) - 1)  # noqa: B023
+            hit = some[at] == value  # noqa: B023
+            out = np.zeros((len(group), len(some)), np.float32)  # noqa: B023
+            out[row[hit], at[hit]] = 1
+            return out
+
+        owns, sees = table(ro, vo), table(rv, vv)
+        met |= (owns[one] @ sees[two].T + sees[one] @ owns[two].T) > 0
+    return met
+
+
+def near_copies(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of equally labelled vectors with cosine >= ``threshold``, counted.
+
+    Returns (classes, counts, edges). classes: id, rep (smallest id with the very
+    same label and vector), copies. counts: id of a representative, and the
+    number of rows of other vectors that it is linked with. edges: pairs of
+    linked, or over links reachable, representatives that connect what links
+    connect. Rows whose label is null or whose vector is null, empty, zero or
+    holds null or non-finite components are in none. Vectors of different widths
+    never link. Other columns of ``vectors`` are not read.
     """
-    good = vectors.where(usable(vector, label)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
+    # a vector so small that squares vanish is as long as one a power of two larger, and its cosines are the same
+    large = F.array_max(F.transform(F.col(vector), lambda x: F.abs(x.cast("double"))))
+    scale = F.when((large < 1e-100) | (large > 1e100), F.pow(F.lit(2.0), -F.floor(F.log2(large)))).otherwise(1.0)
+    good = vectors.where(usable(vector, label)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), scale.alias("k"), F.col(vector).alias("v"))
+    good = good.select("id", "label", F.transform("v", lambda x: x.cast("double") * F.col("k") + F.lit(0.0)).alias("v"))
     keyed = good.withColumn("h", F.xxhash64("v"))
     sums = keyed.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = stored(sums.select(F.col("rep").alias("id"), "label", "h", "v", "copies", F.size("v").alias("width")))
     classes = keyed.join(reps.select("label", "h", "v", F.col("id").alias("rep"), "copies"), ["label", "h", "v"]).select("id", "rep", "copies")
-    found = reps.select("id", "label", "v", "width").mapInArrow(_cells_of, "label string, cell long, id long, own boolean")
-    meet = found.where("own").select("label", "cell", F.col("id").alias("o")).join(found.select("label", "cell", F.col("id").alias("p")), ["label", "cell"])
-    pairs = meet.where("o <> p").select(F.least("o", "p").alias("a"), F.greatest("o", "p").alias("b")).distinct()
-    v = reps.select("id", "v", "width")
-    with_a = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("width").alias("wa")), "a")
-    with_b = with_a.join(v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("width").alias("wb")), "b")
-    links = stored(with_b.select("a", "b", "va", "vb", "wa", "wb").mapInArrow(_close(threshold), "a long, b long, cosine double"))
-    return classes, links
+    found = reps.where("id is not null").select("id", "label", "v", "width").mapInArrow(_cells_of, "label string, cell long, id long, own boolean")
+    owners, visitors = F.count_if("own"), F.count(F.lit(1))
+    sizes = found.groupBy("label", "cell").agg(owners.alias("owners"), visitors.alias("visitors")).where("owners > 0 and visitors > 1")
+    sizes = sizes.select("label", "cell", F.expr(f"owners * visitors > {PAIRS} * (owners + visitors)").alias("crowd"), F.ceil(F.col("visitors") / SIDE).cast("int").alias("parts"))
+    meet = stored(found.join(sizes, ["label", "cell"]))
+    # at most as many entries as a vector has cells
+    crowds = meet.where("crowd").groupBy("id").agg(F.collect_list("cell").alias("crowded"), F.collect_list(F.when(F.col("own"), F.col("cell"))).alias("owned"))
+    v = stored(reps.select("id", "v", "width", "copies").join(crowds, "id", "left"))
+    few = meet.where("not crowd")
+    pairs = few.where("own").select("label", "cell", F.col("id").alias("o")).join(few.select("label", "cell", F.col("id").alias("p")), ["label", "cell"])
+    pairs = pairs.where("o <> p").select(F.least("o", "p").alias("a"), F.greatest("o", "p").alias("b")).distinct()
+    end = lambda x: v.select(F.col("id").alias(x), *(F.col(c).alias(n + x) for c, n in (("v", "v"), ("width", "w"), ("crowded", "c"), ("owned", "o"))))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    links = stored(both.mapInArrow(_close(threshold), "a long, b long, cosine double"))
+    dense = meet.where("crowd").select("label", "cell", "id", "own", "parts").join(v, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dense.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("side", "x"), "j": F.greatest("side", "x")})
+    blocks = dealt.select("label", "cell", "width", "i", "j", "side", "id", "own", "v", "copies", "crowded", "owned").groupBy("label", "cell", "width", "i", "j")
+    counted = stored(blocks.applyInArrow(_block(threshold), "id long, n long, to long"))
+    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    single = ends.join(v.select(F.col("id").alias("y"), "copies"), "y").select(F.col("x").alias("id"), F.col("copies").alias("n"))
+    counts = single.unionByName(counted.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    edges = links.select("a", "b").unionByName(counted.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct())
+    return classes, counts, edges
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,12 +305,9 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table gives an empty result. If ids repeat, links and copies count rows.
     """
     vectors = table(spark, sf_dir, "embeddings")
-    classes, links = near_copies(vectors)
-    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    copies = classes.where("id = rep").select(F.col("rep").alias("y"), "copies").distinct()
-    others = ends.join(copies, "y").groupBy("x").agg(F.sum("copies").alias("others"))
-    component = connected_components(links)
-    per_rep = others.join(component, others.x == component.id).select(F.col("x").alias("rep"), "others", "component")
+    classes, counts, edges = near_copies(vectors)
+    component = connected_components(edges)
+    per_rep = counts.join(component, "id", "full").select(F.col("id").alias("rep"), F.coalesce("n", F.lit(0)).alias("others"), "component")
     per_id = classes.join(per_rep, "rep", "left").groupBy("id").agg(
         F.max(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.min(F.coalesce("component", "rep")).alias("c")
     )

@@ -58,6 +58,41 @@ def test_links_equal_brute_force(spark, tables):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("pairs, side", [(2, 1024), (0, 7), (10**9, 9)])
+def test_dense_groups_equal_brute_force(spark, tables, monkeypatch, pairs, side):
+    """Groups of vectors that nearly all link, as blocks of any size and as pairs."""
+    monkeypatch.setattr(E, "PAIRS", pairs)
+    monkeypatch.setattr(E, "SIDE", side)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([c + s * rng.standard_normal((n, 16)) for c, s, n in ((rng.standard_normal(16), 0.02, 60), (rng.standard_normal(16), 0.11, 60), (rng.standard_normal(16), 0.16, 40))])
+    rows = [(k, v.tolist(), k % 2, "i", 1) for k, v in enumerate(x)]
+    rows += [(300 + k, rows[2 * k][1], rows[2 * k][2], "i", 1) for k in range(20)] + [(400, [1e-200] * 16, 1, "i", 1), (401, [2e-200] * 16, 1, "i", 1)]
+    schema = SCHEMA.replace("array<float>", "array<double>")
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet((folder := tables(rows[:1])) + "/d/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.op1_embedding_near_dedup(spark, folder + "/d").collect()}
+    want = brute_links([r for r in rows if r[0] < 400])
+    assert {k: got[k] for k in want} == want and got[400] == got[401] == (1, 400)
+
+
+def test_dense_groups_make_few_rows(spark, tables):
+    """What leaves the operator's blocks and pairs grows with the vectors of a group, not with its square."""
+    rng = np.random.default_rng(8)
+    made = []
+    for n in (100, 400):
+        x = rng.standard_normal(16) + 0.02 * rng.standard_normal((n, 16))
+        _, counts, edges = E.near_copies(spark.read.parquet(f"{tables([(k, v.tolist(), 1, 'i', 1) for k, v in enumerate(x)])}/embeddings.parquet"))
+        assert [r.n for r in counts.collect()] == [n - 1] * n
+        made.append(edges.count())
+    assert made[1] <= 8 * made[0]
+
+
+def test_repeated_and_null_ids(spark, tables):
+    v = [1.0, 2.0, 3.0]
+    rows = [(5, v, 1, "i", 1), (5, v, 1, "i", 1), (3, v, 1, "i", 1), (None, v, 1, "i", 1), (9, [3.0, -1.0, 0.5], 1, "i", 1)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), str(r.kept)) for r in E.op1_embedding_near_dedup(spark, tables(rows)).collect())
+    assert got == [("3", 3, "3", "True"), ("5", 3, "3", "False"), ("5", 3, "3", "False"), ("9", 0, "9", "True"), ("None", 0, "None", "None")]
+
+
 def test_no_vectors(spark, tables):
     folder = tables(vectors()[:0])
     assert E.op1_embedding_near_dedup(spark, folder).count() == 0
