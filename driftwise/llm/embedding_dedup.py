@@ -139,7 +139,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widths = np.array(batch.column("width"))
         for width in np.unique(widths):
             part = batch.filter(pa.array(widths == width))
-            x = _matrix(part.column("v"))
+            x = sized(_matrix(part.column("v")))
             own, near = cells(x / np.linalg.norm(x, axis=1)[:, None])
             n, p = len(x), near.shape[2] + 1
             every = np.concatenate([own[:, :, None], near], axis=2)
@@ -154,6 +154,16 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def sized(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would vanish or overflow, times a power of two, which leaves every cosine as it is."""
+    large = np.abs(x).max(axis=1, initial=0.0)
+    odd = (large > 0) & ((large < 1e-100) | (large > 1e100))
+    if odd.any():
+        x = x.copy()
+        x[odd] = np.ldexp(x[odd], -np.frexp(large[odd])[1][:, None])
+    return x
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the rows of ``a`` with those of ``b``, one by one."""
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
@@ -188,7 +198,7 @@ def _close(threshold: float):
             widths = np.array(part.column("wa"))
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
-                cos[at] = _cosines(*(_matrix(part.column(c).take(pa.array(at))) for c in ("va", "vb")))
+                cos[at] = _cosines(*(sized(_matrix(part.column(c).take(pa.array(at)))) for c in ("va", "vb")))
             keep = pa.array(cos >= threshold)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(cos).filter(keep)], names=["a", "b", "cosine"])
 
@@ -203,7 +213,7 @@ def _block(threshold: float):
         side = np.array(group.column("side"))
         one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
         ids, copies, own = (np.array(group.column(c)) for c in ("id", "copies", "own"))
-        v = _matrix(group.column("v"))
+        v = sized(_matrix(group.column("v")))
         unit = v / np.linalg.norm(v, axis=1)[:, None]
         cos = unit[one] @ unit[two].T
         link = cos >= threshold
@@ -263,11 +273,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_
     holds null or non-finite components are in none. Vectors of different widths
     never link. Other columns of ``vectors`` are not read.
     """
-    # a vector so small that squares vanish is as long as one a power of two larger, and its cosines are the same
-    large = F.array_max(F.transform(F.col(vector), lambda x: F.abs(x.cast("double"))))
-    scale = F.when((large < 1e-100) | (large > 1e100), F.pow(F.lit(2.0), -F.floor(F.log2(large)))).otherwise(1.0)
-    good = vectors.where(usable(vector, label)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), scale.alias("k"), F.col(vector).alias("v"))
-    good = good.select("id", "label", F.transform("v", lambda x: x.cast("double") * F.col("k") + F.lit(0.0)).alias("v"))
+    good = vectors.where(usable(vector, label)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     keyed = good.withColumn("h", F.xxhash64("v"))
     sums = keyed.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = stored(sums.select(F.col("rep").alias("id"), "label", "h", "v", "copies", F.size("v").alias("width")))

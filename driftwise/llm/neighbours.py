@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .embedding_dedup import _matrix, usable
+from .embedding_dedup import _matrix, sized, usable
 from .shared import Stored, sliced, stored, table
 
 TREES, LEAF, SAMPLE, SEED = 4, 128, 20_000, 4242
@@ -129,7 +129,7 @@ def _index(forest: Forest, bits: int):
             batch = batch.filter(pa.array(np.array(batch.column("width")) == forest.width))
             if not len(batch):
                 continue
-            x = _matrix(batch.column("v"))
+            x = sized(_matrix(batch.column("v")))
             leaf = forest.leaves(x / np.linalg.norm(x, axis=1)[:, None]).reshape(-1)
             at = pa.array(np.repeat(np.arange(len(x)), forest.trees))
             trees = pa.array(np.tile(np.arange(forest.trees, dtype=np.int32), len(x)))
@@ -146,7 +146,7 @@ def _ask(forest: Forest, share: float, bits: int):
             batch = batch.filter(pa.array(np.array(batch.column("width")) == forest.width))
             if not len(batch):
                 continue
-            x = _matrix(batch.column("v"))
+            x = sized(_matrix(batch.column("v")))
             q, t, leaf = (np.array(c) for c in zip(*forest.search(x / np.linalg.norm(x, axis=1)[:, None], share), strict=True))
             grp = leaf >> (forest.depth - bits)
             order = np.lexsort((leaf, grp, t, q))
@@ -193,7 +193,7 @@ def _rerank(k: int):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(index) and len(asks):
             index = index.take(pa.array(np.argsort(np.array(index.column("leaf")), kind="stable"))).combine_chunks()
-            v, w, leaf, q = _matrix(index.column("v")), _matrix(asks.column("v")), np.array(index.column("leaf")), np.array(asks.column("q"))
+            v, w, leaf, q = sized(_matrix(index.column("v"))), sized(_matrix(asks.column("v"))), np.array(index.column("leaf")), np.array(asks.column("q"))
             ids = index.column("ids").combine_chunks()
             flat, offsets = np.array(ids.flatten()), np.r_[0, np.cumsum(np.array(ids.value_lengths()))]
             wanted = asks.column("leaves").combine_chunks()
@@ -245,7 +245,7 @@ def _of_width(rows: DataFrame, queries: DataFrame, width: int, n: int, k: int, s
     """query_id, vec_id, score: at most k rows a query and task, among the ``n`` different vectors of one width."""
     rows, queries = rows.where(F.col("width") == width), queries.where(F.col("width") == width)
     sample = rows.select("v").orderBy("salt", "v").limit(SAMPLE).toArrow()
-    x = _matrix(sample.column("v"))
+    x = sized(_matrix(sample.column("v"))).copy()
     x /= np.linalg.norm(x, axis=1)[:, None]
     forest = Forest(x, n)
     share = fitted_share(x, k) if share is None else share
