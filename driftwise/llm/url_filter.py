@@ -10,7 +10,7 @@ weights. Its weights travel as one array of that fixed size.
 from __future__ import annotations
 
 import random
-import zlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytes_of import POWERS, mix, prefix
 from .shared import table
 
-BITS, GRAMS = 14, (3, 4, 5)
+BITS, GRAMS = 18, (3, 4, 5)
 #: (host, path, verdict); the longest fitting rule wins.
 RULES = (
     ("com", "/", "allow"),
@@ -47,7 +48,7 @@ def _sites(words: list[str]) -> list[str]:
     return words + [f"{w}-{words[(k * 7 + 3) % n]}" for k, w in enumerate(words)] + [w + words[(k * 11 + 5) % n] for k, w in enumerate(words)]
 
 
-def _names(n: int = 160) -> list[str]:
+def _names(n: int = 600) -> list[str]:
     """Made-up names, which say nothing: to allow."""
     parts = "al an ar be ca co de el en er es fi ga ha in is ka la le lo ma me mi na ne no on or ou pa ra re ri ro sa se sh st ta te th ti to un ur va ve vi wo".split()
     rng = random.Random(17)
@@ -91,48 +92,74 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> F.Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def slots(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams; those of host and path never share a name."""
-    found = set()
-    for mark, text in ((b"h", f"^{host}$"), (b"p", f"^{path}$")):
-        raw = text.encode()
-        for n in GRAMS:
-            for i in range(len(raw) - n + 1):
-                found.add(zlib.crc32(mark + raw[i : i + n]) & ((1 << BITS) - 1))
-    return np.fromiter(found, np.int64, len(found))
+def grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of every n-gram of every text, marked at both ends; all texts are hashed as one array of bytes."""
+    raw = [f"^{t}$".encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    size = np.array([len(r) for r in raw], np.int64)
+    start = np.cumsum(size) - size
+    p = prefix(data)
+    rows, slots_ = [], []
+    for n in GRAMS:
+        count = np.maximum(0, size - n + 1)
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        rows.append(np.repeat(np.arange(len(raw)), count))
+        slots_.append(mix((p[at + n] - p[at]) * POWERS.down[at] + np.uint64(salt * 8 + n)) & np.uint64((1 << BITS) - 1))
+    return np.concatenate(rows), np.concatenate(slots_).astype(np.int64)
+
+
+def slots(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the distinct hashed n-grams of every row; those of host and path never share a name before hashing."""
+    (a, x), (b, y) = grams(hosts, 1), grams(paths, 2)
+    both = np.unique(np.r_[a, b] << BITS | np.r_[x, y])
+    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def split(url: str) -> tuple[str, str]:
+    """Host and path, as ``host_of`` and ``path_of`` have them."""
+    found = re.match(r"[^/?#]*", rest := url.partition("://")[2])[0]
+    return "".join(c.lower() if c.isascii() else c for c in found), re.split(r"[?#]", rest[len(found) :])[0]
 
 
 @lru_cache(maxsize=4)
 def train(labelled: tuple = LABELLED, rounds: int = 1000, rate: float = 6.0, l2: float = 1e-4) -> np.ndarray:
     """Weights, the last one the bias."""
     w = np.zeros((1 << BITS) + 1)
-    rows = []
-    for url, label in labelled:
-        rest = url.partition("://")[2]
-        host = rest.split("/")[0].split("?")[0].split("#")[0]
-        rows.append((slots(host.lower(), rest[len(host) :].split("?")[0].split("#")[0]), label))
-    where = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-    at = np.concatenate([s for s, _ in rows])
-    scale = 1 / np.sqrt(np.array([max(1, len(s)) for s, _ in rows]))
-    y = np.array([label for _, label in rows], float)
+    where, at = slots(*map(list, zip(*(split(url) for url, _ in labelled), strict=True)))
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(where, minlength=len(labelled))))
+    y = np.array([label for _, label in labelled], float)
     share = np.where(y == 1, 0.4 / max(1, y.sum()), 0.6 / max(1, (1 - y).sum()))
     for _ in range(rounds):
-        z = np.bincount(where, w[at], len(rows)) * scale + w[-1]
+        z = np.bincount(where, w[at], len(y)) * scale + w[-1]
         g = (1 / (1 + np.exp(-z)) - y) * share
         w[:-1] -= rate * (np.bincount(at, (g * scale)[where], 1 << BITS) + l2 * w[:-1])
         w[-1] -= rate * g.sum()
     return w
 
 
+def scores(hosts: list[str], paths: list[str], w: np.ndarray) -> np.ndarray:
+    """The probability of every row to be one to block."""
+    where, at = slots(hosts, paths)
+    n = len(hosts)
+    z = np.bincount(where, w[at], n) / np.sqrt(np.maximum(1, np.bincount(where, minlength=n))) + w[-1]
+    return 1 / (1 + np.exp(-z))
+
+
 def score(host: str, path: str, w: np.ndarray) -> float:
-    s = slots(host, path)
-    return float(1 / (1 + np.exp(-(w[s].sum() / np.sqrt(max(1, len(s))) + w[-1]))))
+    return float(scores([host], [path], w)[0])
 
 
 def _scores(w: np.ndarray):
+    """Scores a batch at once; rows without a host to judge (null) have none."""
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in batches:
-            yield pd.Series([score(h, p, w) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+            out = np.full(len(hosts), np.nan)
+            for start in range(0, len(hosts), 4096):
+                own = np.flatnonzero(hosts[start : start + 4096].notna()) + start
+                if len(own):
+                    out[own] = scores(hosts.iloc[own].tolist(), paths.iloc[own].tolist(), w)
+            yield pd.Series(out).where(hosts.notna().to_numpy(), None)
 
     return F.pandas_udf(run, "double")
 
@@ -140,16 +167,22 @@ def _scores(w: np.ndarray):
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict and block_score to the rows of ``pages``.
 
-    A null url, or one without ``://``, has empty host and path and is left to
-    the method, which sees no n-gram of a site in it. Columns of ``pages`` by
-    the names of the added ones are replaced.
+    Rules come first; the method judges, and gives a block_score to, the rows
+    that none decides. A null url, or one without ``://``, has empty host and
+    path and is left to the method, which sees no n-gram of a site in it.
+    Repeated rows stay; an empty table stays empty. Columns of ``pages`` by the
+    names of the added ones are replaced.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    rule = "_rule"
+    while rule in own:
+        rule += "_"
     parts = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    scored = parts.withColumn("block_score", _scores(train())("host", "path"))
-    ruled = scored.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = parts.withColumn(rule, rule_of(F.col("host"), F.col("path"), rules))
+    open_host = F.when(F.col(rule).isNull(), F.col("host"))
+    scored = ruled.withColumn("block_score", _scores(train())(open_host, F.col("path")))
     method = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
-    return ruled.select(*own, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", method).alias("verdict"), "block_score")
+    return scored.select(*own, "host", "path", F.col(f"{rule}.rule").alias("rule"), F.coalesce(f"{rule}.verdict", method).alias("verdict"), "block_score")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,40 @@ def test_url_model_separates_the_labelled_table():
         assert (url_filter.score(host, path, w) >= 0.5) == bool(label), host
 
 
+def test_op2_equals_a_plain_version(spark, tmp_path):
+    """Rules by hand, and the model's score n-gram by n-gram."""
+    urls = [u for u, *_ in URLS] + [u for u, _ in url_filter.LABELLED[:300:7]] + ["http://free-bets.example.org/" + "x" * 20_000, "http://xyz.org/a b?c", "http://xyz.org/a b?c"]
+    spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, _rule string").write.parquet(str(tmp_path / "pages.parquet"))
+    w, rules = url_filter.train(), [(h + p, h, p, v) for h, p, v in url_filter.RULES]
+    rows = {r.page_id: r for r in url_filter.op2_url_filters(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(urls)
+    for k, u in enumerate(urls):
+        r = rows[k]
+        host, path = url_filter.split(u or "") if u and "://" in u else ("", "")
+        assert (r.host, r.path) == (host, path)
+        fits = [x for x in rules if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
+        best = max(fits, key=lambda x: len(x[0]), default=None)
+        if best:
+            assert (r.rule, r.verdict, r.block_score) == (best[0], best[3], None)
+            continue
+        found = {s for salt, text in ((1, host), (2, path)) for s in url_filter.grams([text], salt)[1].tolist()}
+        score = 1 / (1 + np.exp(-(sum(w[s] for s in found) / np.sqrt(max(1, len(found))) + w[-1])))
+        assert r.rule is None and r.block_score == pytest.approx(score) and r.verdict == ("block" if score >= 0.5 else "allow")
+    assert url_filter.filter_urls(spark.read.parquet(str(tmp_path / "pages.parquet"))).columns == ["page_id", "url", "_rule", "host", "path", "rule", "verdict", "block_score"]
+
+
+def test_url_model_on_sites_it_has_not_seen():
+    """Trained without a fifth of the sites, the model tells their urls apart."""
+    site = lambda u: url_filter.split(u)[0].removeprefix("www.").removeprefix("blog.").removeprefix("m.").split(".")[0]
+    sites = sorted({site(u) for u, _ in url_filter.LABELLED})
+    held = set(sites[::5])
+    w = url_filter.train(tuple(x for x in url_filter.LABELLED if site(x[0]) not in held))
+    rest = [(u, label) for u, label in url_filter.LABELLED if site(u) in held]
+    hosts, paths = zip(*(url_filter.split(u) for u, _ in rest), strict=True)
+    right = (url_filter.scores(list(hosts), list(paths), w) >= 0.5) == np.array([label == 1 for _, label in rest])
+    assert len(rest) > 150 and right.mean() >= 0.85, right.mean()
+
+
 # --- packing
 
 
