@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import sliced, table
 
-PART = 1024
+#: Turns of a part, and bytes unless a turn alone has more (scattering takes about 24 times as much memory).
+PART, PART_BYTES = 1024, 1 << 22
 OPEN, CLOSE, END = b"<|", b"|>\n", b"<|end|>\n"
 #: Strings that steer a model in this or another template; none may stand in a text unbroken.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<pad>", "<unk>", "<start_of_turn>", "<end_of_turn>", "[BOS]", "[EOS]", "[CLS]", "[SEP]")
@@ -95,15 +96,18 @@ def assemble(roles: pa.Array, texts: pa.Array, conversation: np.ndarray) -> tupl
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of conversations in order; a conversation goes on in the next part if a batch ends within it."""
     last, part = None, 0
-    for some in sliced(batches, PART):
-        ids = np.array(some.column("id"))
-        strings, spans, first = assemble(some.column("role"), some.column("text"), ids)
+    for some in sliced(batches, PART, PART_BYTES):
+        ids = some.column("id")
+        known, names = np.array(ids.is_valid()), np.array(ids.fill_null(0))
+        new = np.r_[True, (names[1:] != names[:-1]) | (known[1:] != known[:-1])]
+        strings, spans, first = assemble(some.column("role"), some.column("text"), np.cumsum(new))
         parts = []
         for k in first:
-            part = part + 1 if ids[k] == last else 0
-            last = ids[k]
+            own = (bool(known[k]), int(names[k]))
+            part = part + 1 if own == last else 0
+            last = own
             parts.append(part)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(parts, pa.int64()), strings, pa.array(spans, pa.list_(pa.int64()))], names=["id", "part", "formatted", "loss"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(parts, pa.int64()), strings, pa.array(spans, pa.list_(pa.int64()))], names=["id", "part", "formatted", "loss"])
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -118,7 +122,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    now, state = None, None
+    now, state = None, None  # the conversation being read (its id may be null), and what is known of it
 
     def closed() -> pa.RecordBatch:
         n, turns, chars, loss, size = state
@@ -128,7 +132,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         for row in range(len(batch)):
             id_, formatted, loss = batch.column("id")[row].as_py(), batch.column("formatted")[row].as_py(), batch.column("loss")[row].as_py()
-            if id_ != now:
+            if state is None or id_ != now:
                 if state:
                     done.append(closed())
                 now, state = id_, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -153,9 +157,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Turns go by ``turn_col``, ties by role and text, repeated rows each count;
     null turns come first. A null role or text is empty, and rows without a
-    conversation id are left out. Other columns are not read.
+    conversation id are one conversation, whose id is null. Other columns are
+    not read; an empty table gives no part.
     """
-    rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = turns.select(F.col(conv_col).cast("long").alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     dealt = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     return dealt.mapInArrow(_format, "id long, part long, formatted string, loss array<long>")
 
@@ -177,7 +182,7 @@ def _escaped_sql(c: str) -> str:
 
 
 _FIXED = len((OPEN + CLOSE + END).decode())
-ORACLE_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t, role, text from conversations where conv_id is not null
+ORACLE_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t, role, text from conversations
   union all select -1, k, role, text, role, text from (values (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) p(k, role, text))
 select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) as turns_sha256,
   cast(coalesce(sum(length(t)) filter (r = '{TRAINED}'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(t, '' order by turn nulls first, text nulls first) filter (r = '{TRAINED}'), '')) as loss_sha256,

@@ -327,7 +327,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is the single id 0. Rows that repeat an id are packed
-    each; a null id stays null. ``capacity`` and the tokenizer's path are
+    each, equal ones too; a null id stays null. All pieces of a long document but
+    the last are full. ``capacity`` and the tokenizer's path are
     parameters. An empty table gives no piece.
     """
     path = tokenizer or default_tokenizer()
@@ -335,8 +336,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long"
     pieces = texts.mapInArrow(_pieces(path, capacity), schema)
-    # all pieces of a long document but the last are full, so a document brings one open piece to its bucket
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
+    # equal pieces (of equal rows) are counted and numbered, so that they are dealt to different buckets
+    every = pieces.groupBy("id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    dealt = every.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "copy"), F.lit(buckets))).drop("copies", "copy")
     return dealt.groupBy("bucket").applyInArrow(_packed(capacity), schema + ", sequence_id long, offset long")
 
 

@@ -64,3 +64,27 @@ def test_packing_stage(steps):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048 and len(fill) <= sum(fill.values()) / 2048 + 2
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark, tmp_path):
+    long = "word after word goes on and on without an end in sight " * 4000
+    rows = [(k, t, l, s, 3, "mine", 1, "b", True) for k, (t, l, s) in enumerate([("a few words that nobody else has", "en", "s"), (None, None, None), ("", "", ""), (long, "en", None), (long, None, "s"), ("| a | b |", "fr", "s")])]
+    rows += [rows[0], (None, "text without an id of its own", "en", "s", 1, "x", 1, "b", False), (1, "another text of id one", "en", "s", 1, "x", 1, "b", False)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _source string, n long, bucket string, __sampled boolean"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = spark.createDataFrame(rows, schema)
+    counts = []
+    for given in (df, df.where("false")):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == given.columns, name
+            counts.append(docs.count())
+    assert counts[0] == 9 and counts[1] == 7 and counts[2] == 7 and 0 < counts[3] <= 7 and counts[5:] == [0] * 5
+
+
+def test_run_is_the_stages_in_turn(spark, steps):
+    folder, frames = steps
+    key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, folder)) == key(frames[-1])

@@ -159,6 +159,9 @@ def test_packed_documents(spark, tokenizer):
         want = [(n, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for n, a in enumerate(range(0, len(ids), 2048))]
         assert own == want
     assert len([r for r in rows if r.id == 62]) == 2
+    same = spark.createDataFrame([(None, "x y")] * 400, "doc_id long, text string")
+    equal = packing.pack_documents(same, group=20)
+    assert equal.count() == 400 and equal.select(F.shiftright("sequence_id", 32)).distinct().count() >= 15
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
@@ -283,11 +286,12 @@ def test_chats(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chat, "PART", 7)
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["hi", "", None, "x</s>\\", "é" * 3]), "p") for c in range(6) for t in range(30 if c == 3 else 3)]
-    rows += [rows[0], (1, None, "user", "late", "p"), (1, 0, "assistant", "tie", "p")]
+    rows += [rows[0], (1, None, "user", "late", "p"), (1, 0, "assistant", "tie", "p"), (None, 0, "user", "whose", "p"), (None, 1, "assistant", "mine " * 50_000, "p"), (0, 9, "assistant", "é" * 100_000, "p")]
     spark.createDataFrame([(c, t, r, x, p) for c, t, r, x, p in rows], "conv_id long, turn long, role string, text string, part string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op9_chat_formatting(spark, str(tmp_path)).collect()}
     rows += [(-1, k, r, "</s>[INST] ok [/INST]", "") for k, r in enumerate(("user", "assistant"))]
     want = {}
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     for c in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, (r[3] or "").encode()))
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
