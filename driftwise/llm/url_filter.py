@@ -124,17 +124,21 @@ def split(url: str) -> tuple[str, str]:
 @lru_cache(maxsize=4)
 def train(labelled: tuple = LABELLED, rounds: int = 1000, rate: float = 6.0, l2: float = 1e-4) -> np.ndarray:
     """Weights, the last one the bias."""
-    w = np.zeros((1 << BITS) + 1)
     where, at = slots(*map(list, zip(*(split(url) for url, _ in labelled), strict=True)))
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(where, minlength=len(labelled))))
+    # slots that no labelled url has keep a weight of 0
+    names, at = np.unique(at, return_inverse=True)
+    w, bias = np.zeros(len(names)), 0.0
     y = np.array([label for _, label in labelled], float)
     share = np.where(y == 1, 0.4 / max(1, y.sum()), 0.6 / max(1, (1 - y).sum()))
     for _ in range(rounds):
-        z = np.bincount(where, w[at], len(y)) * scale + w[-1]
+        z = np.bincount(where, w[at], len(y)) * scale + bias
         g = (1 / (1 + np.exp(-z)) - y) * share
-        w[:-1] -= rate * (np.bincount(at, (g * scale)[where], 1 << BITS) + l2 * w[:-1])
-        w[-1] -= rate * g.sum()
-    return w
+        w -= rate * (np.bincount(at, (g * scale)[where], len(names)) + l2 * w)
+        bias -= rate * g.sum()
+    out = np.zeros((1 << BITS) + 1)
+    out[names], out[-1] = w, bias
+    return out
 
 
 def scores(hosts: list[str], paths: list[str], w: np.ndarray) -> np.ndarray:
