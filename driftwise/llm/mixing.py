@@ -11,7 +11,7 @@ is taken grows with what there is.
 
 Only DataFrame functions are used. The cells are partially aggregated before
 they are dealt out, so a source with a third of all rows costs one row per task
-and cell; each round's cells are written to the shared folder. Whether the cells
+and cell; cells and factors are written to the shared folder. Whether the cells
 are broadcast to the documents is left to Spark, which checks their size.
 """
 
@@ -43,44 +43,59 @@ def cells_of(docs: DataFrame, dims=DIMS, tokens: str = "tokens") -> DataFrame:
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, dims=DIMS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, tolerance: float = 0.0) -> DataFrame:
     """``cells`` (dims, n) with a column w: the factor on each cell's tokens.
 
-    At most ``rounds`` rounds; fewer, if no factor of a round's first marginals
-    is further than ``tolerance`` from 1.
+    That factor is a product of one per value of each dim. Only these are kept
+    from step to step, in tables of a marginal's size; the cells are written once
+    and read by each step, whose plan stays the same. At most ``rounds`` rounds;
+    fewer, if no step from a round's first marginals is further than
+    ``tolerance`` from 1.
 
     ``targets`` gives shares per dimension and value; a value it lacks has the
     share 0. A dimension it lacks aims at shares in proportion to tokens **
     ``temperature``. Marginals without tokens keep their weights.
     """
     spark = cells.sparkSession
-    now = Stored(cells.withColumn("w", F.lit(1.0)), cells=F.count(F.lit(1)))
-    n_cells = now.seen["cells"]
-    total = now.df.agg(F.sum("n").alias("total"))
-    goals = []
+    base = Stored(cells.select(*dims, "n"), cells=F.count(F.lit(1)), total=F.sum("n"))
+    n_cells, total = base.seen.get("cells", 0), base.seen.get("total")
+    states, wholes = {}, {}
     for d in dims:
-        by = now.df.groupBy(d).agg(F.sum("n").alias("t"))
+        by = base.df.groupBy(d).agg(F.sum("n").alias("t"))
         if targets and d in targets:
             given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "v string, part double")
             part = by.join(given, F.col(d) == F.col("v"), "left").select(d, F.coalesce("part", F.lit(0.0)).alias("part"))
         else:
             part = by.select(d, F.pow("t", F.lit(temperature)).alias("part"))
-        whole = part.agg(F.sum("part").alias("whole"))
-        goals.append(Stored(part.join(F.broadcast(whole)).join(F.broadcast(total)).select(F.col(d), F.expr("case when whole > 0 then total * part / whole else 0d end").alias("goal"))))
+        states[d] = Stored(part.withColumn("f", F.lit(1.0)), n_cells, whole=F.sum("part"))
+        wholes[d] = states[d].seen.get("whole")
+
+    def weighed(by) -> DataFrame:
+        """The cells with the product of these dims' factors as w."""
+        df = base.df.withColumn("w", F.lit(1.0))
+        for d in by:
+            df = df.join(states[d].df.select(d, "f"), d).select(*dims, "n", (F.col("w") * F.col("f")).alias("w"))
+        return df
+
+    def stepped(d: str) -> Stored:
+        """The factors of ``d`` under which its marginals are the goals, and how far from 1 any of them moved its marginal."""
+        have = weighed(o for o in dims if o != d).groupBy(d).agg(F.sum(F.col("n") * F.col("w")).alias("have"))
+        goal = F.col("part") * F.lit(total / wholes[d] if wholes[d] else 0.0)
+        rows = states[d].df.select(d, "part", F.col("f").alias("f0")).join(have, d)
+        now = rows.select(d, "part", "f0", F.when(F.col("have") > 0, goal / F.col("have")).otherwise(F.col("f0")).alias("f"))
+        return Stored(now, n_cells, moved=F.max(F.abs(F.try_divide("f", "f0") - 1)))
+
     for k in range(rounds):
-        df = now.df
-        if k and tolerance:
-            have = df.groupBy(dims[0]).agg(F.sum(F.col("n") * F.col("w")).alias("have")).where("have > 0")
-            off = have.join(goals[0].df, dims[0]).agg(F.max(F.abs(F.col("goal") / F.col("have") - 1))).first()[0]
-            if off is None or off <= tolerance:
+        for d in dims:
+            then = stepped(d)
+            settled = k and tolerance and d == dims[0] and (then.seen.get("moved") or 0.0) <= tolerance
+            states[d].drop()
+            states[d] = then
+            if settled:
                 break
-        for d, goal in zip(dims, goals, strict=True):
-            have = df.groupBy(d).agg(F.sum(F.col("n") * F.col("w")).alias("have"))
-            step = have.join(goal.df, d).select(d, F.expr("case when have > 0 then goal / have else 1d end").alias("f"))
-            df = df.join(step, d).select(*dims, "n", (F.col("w") * F.col("f")).alias("w"))
-        then = Stored(df, n_cells)
-        now.drop()
-        now = then
-    for goal in goals:
-        goal.drop()
-    return now.df
+        if settled:
+            break
+    out = Stored(weighed(dims), n_cells)
+    for each in (base, *states.values()):
+        each.drop()
+    return out.df
 
 
 def cut_of(cells: DataFrame, share: float) -> float | None:
@@ -154,10 +169,9 @@ def mixed(
     rows = docs.withColumns({d: named(v) for d, v in zip(dims, values, strict=True)} | {p + "tokens": F.coalesce(tokens, F.lit(0)) if tokens else size})
     renamed = {p + d: {"" if k is None else f"={k}": v for k, v in goal.items()} for d, goal in (targets or {}).items()}
     cells = raked(cells_of(rows, dims, p + "tokens"), renamed, dims, rounds, tolerance=tolerance)
-    top = cells.where("n > 0").agg(F.max("w").alias("top"))
-    if share is not None:
-        top = top.select(F.lit(cut_of(cells, share)).cast("double").alias("top"))
-    calibrated = cells.join(F.broadcast(top)).select(*dims, F.col("w").alias(p + "weight"), F.expr("case when top > 0 then least(1d, w / top) else 1d end").alias(p + "probability"))
+    cut = cells.where("n > 0").agg(F.max("w")).first()[0] if share is None else cut_of(cells, share)
+    probability = F.least(F.lit(1.0), F.col("w") / F.lit(cut)) if cut else F.lit(1.0)
+    calibrated = cells.select(*dims, F.col("w").alias(p + "weight"), probability.alias(p + "probability"))
     sampled = uniform(F.col(id_col)) < F.col(p + "probability")
     return rows.join(calibrated, list(dims)).withColumn(p + "sampled", sampled).select(*docs.columns, *(p + c for c in (*DIMS, "tokens", "weight", "probability", "sampled")))
 
