@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import short_model_name
-from .operators import clean, embed, entity_year, events, extract, history, sampling, similarity
+from .operators import clean, embed, entity_year, events, extract, history, models, sampling, similarity
 from .sources import readers, sinks
 
 
@@ -37,11 +37,13 @@ def parser() -> argparse.ArgumentParser:
 
     command("prepare", "clean raw rows and build their text")
     c = command("embed", "document vectors, and one vector per entity and year")
-    c.add_argument("--model-name", default="hashing")
-    c.add_argument("--width", type=int, default=64)
+    c.add_argument("--model-name", help="names the files; the model's folder by default")
+    c.add_argument("--model", help="folder of an encoder (model.onnx, tokenizer.json) that all executors can open; without it, words are hashed")
+    c.add_argument("--device", choices=("auto", "cpu", "cuda"), default="auto")
+    c.add_argument("--width", type=int, default=64, help="of hashed vectors")
     c.add_argument("--batch-size", type=int)
     c.add_argument("--embed-backend", choices=("overflow", "sentences"), default="overflow")
-    c.add_argument("--max-seq-length", type=int, default=512)
+    c.add_argument("--max-seq-length", type=int, help="512, or less if the model says so")
     c.add_argument("--row-chunk-size", type=int, default=100_000, help="rows that --max-chunks counts by")
     c.add_argument("--max-chunks", type=int, help="take only the first so many chunks, by code, date and id")
     c.add_argument("--device-memory", type=float, help="GB of the device's memory, by which the batch size is chosen; without it, a CPU's")
@@ -97,15 +99,24 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         # equal documents without an id have one vector, which is the right one for each
         docs = docs.withColumn("_key", F.md5("text"))
         width = args.width
-        vectors = embed.embedded(docs.select("_key", "text").distinct(), "_key", "text", lambda: embed.HashingEncoder(width), args.batch_size or embed.batch_size(args.device_memory, "minilm" in args.model_name.lower()), limit=embed.token_budget(args.max_seq_length) if args.embed_backend == "sentences" else args.max_seq_length, strategy=args.embed_backend)
+        name = args.model_name or (args.model.rstrip("/").rsplit("/", 1)[-1] if args.model else "hashing")
+        if args.model:
+            encoder, tokenizer, most = models.loaders(args.model, args.device, args.max_seq_length)
+        else:
+            encoder, tokenizer, most = (lambda: embed.HashingEncoder(width)), embed.WordTokenizer, args.max_seq_length or models.MOST_TOKENS
+        # a model's special tokens need room in every window
+        limit = embed.token_budget(most) if args.model or args.embed_backend == "sentences" else most
+        batch = args.batch_size or embed.batch_size(args.device_memory, "minilm" in name.lower())
+        vectors = embed.embedded(docs.select("_key", "text").distinct(), "_key", "text", encoder, batch, limit=limit, strategy=args.embed_backend, tokenizer=tokenizer)
         full = docs.join(vectors.select("_key", "embedding"), "_key").drop("_key")
         out = entity_year.entity_years(full, args.include_empty_in_agg)
         if args.output:
-            sinks.write_bundle(out, args.output, args.model_name, width)
+            width = models.vector_width(args.model) if args.model else width
+            sinks.write_bundle(out, args.output, name, width)
             if args.save_document_level:
-                sinks.write_parquet(full, f"{args.output}/document_level_{short_model_name(args.model_name)}.parquet")
+                sinks.write_parquet(full, f"{args.output}/document_level_{short_model_name(name)}.parquet")
             if args.save_npy:
-                sinks.write_npy(out, f"{args.output}/{sinks.bundle_name('firm_year', args.model_name)}.npy", ["stkcd", "p_year"])
+                sinks.write_npy(out, f"{args.output}/{sinks.bundle_name('firm_year', name)}.npy", ["stkcd", "p_year"])
             return 0
     elif args.command == "similarity":
         first = similarity.similarity(df, calendar=args.calendar)
