@@ -39,12 +39,15 @@ def embedded(spark: SparkSession, sf_dir: str, *models: str) -> DataFrame:
     """Documents with one vector per model (e_a, e_b), coerced citations and the emptiness flag."""
     emb = read(spark, sf_dir, "embeddings").select("vec_id", V.as_doubles(F.col("embedding")).alias("v"))
     n = emb.agg(F.count(F.lit(1)).alias("ne"))
-    rows = documents(spark, sf_dir, texts=False).join(F.broadcast(n)).withColumn("_e", F.col("p_id") % F.col("ne"))
-    rows = rows.join(emb.select(F.col("vec_id").alias("_e"), F.col("v").alias("own")), "_e")
+    narrow = documents(spark, sf_dir, texts=False).join(F.broadcast(n)).withColumn("_e", F.col("p_id") % F.col("ne"))
+    rows = narrow.join(emb.select(F.col("vec_id").alias("_e"), F.col("v").alias("own")), "_e")
     for m in models:
         factor, step, lasts, first, shift = MODELS[m]
         at = (factor * F.col("f") + step * F.floor((F.col("p_year") - first) / lasts) + shift) % F.col("ne")
-        rows = rows.withColumn("_b", F.pmod(at, F.col("ne"))).join(emb.select(F.col("vec_id").alias("_b"), F.col("v").alias("base")), "_b")
+        rows = rows.withColumn("_b", F.pmod(at, F.col("ne")))
+        # one per entity and regime, so rows with their own vectors need not be dealt out again
+        bases = emb.select(F.col("vec_id").alias("_b"), F.col("v").alias("base")).join(F.broadcast(narrow.select(F.pmod(at, F.col("ne")).alias("_b")).distinct()), "_b")
+        rows = rows.join(F.broadcast(bases), "_b")
         rows = rows.withColumn(f"e_{m}", F.zip_with("base", "own", lambda x, y: x + 0.5 * y)).drop("base", "_b")
     cites: Column = S.count_or_zero(F.col("p_cite").cast("string"))
     return rows.select("stkcd", "p_year", "p_id", "p_date", cites.alias("p_cite"), F.col("blank").alias("text_is_empty"), *(f"e_{m}" for m in models))
