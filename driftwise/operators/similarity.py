@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions import vectors as V
+from ..sources.scratch import scratch
 
 NAMES = ("cos_sim_lag1", "cos_sim_lag3", "cos_sim_cumulative")
 
@@ -71,13 +72,33 @@ def merged(simple: DataFrame, weighted: DataFrame | None, entity: str = "stkcd",
 
 
 def summary(df: DataFrame, columns=None) -> DataFrame:
-    """measure, n, mean, median, sd, min, max of similarity columns; null and NaN don't count. One scan."""
+    """measure, n, mean, median, sd, min, max of similarity columns; null and NaN don't count. One scan.
+
+    Different values are counted and dealt out by order, so the exact median is
+    found in one part, and no task holds all values. The counts are written to
+    ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
     columns = columns or [c for c in df.columns if c.startswith(("cos_sim", "sim_"))]
-    clean = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
-    parts = [f(c).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
-    pick = ("n", "mean", "median", "sd", "min", "max")
-    rows = F.array(*(F.struct(F.lit(c).alias("measure"), *(F.col(f"{k}_{i}").alias(k) for k in pick)) for i, c in enumerate(columns)))
-    return clean.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
+    value = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns))))
+    counts = df.select(value.alias("x")).select("x.*").where("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    path = scratch(spark)
+    counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.schema("k int, v double, c long, part int").parquet(path)
+
+    totals = counts.groupBy("k").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    off = F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")))
+    spread = counts.join(F.broadcast(totals), "k").groupBy("k").agg(F.when(F.max("n") > 1, F.sqrt(off / F.greatest(F.max("n") - 1, F.lit(1)))).alias("sd"))
+    # the places of the one or two middle values, from 0, and the parts that have them
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    parts = counts.groupBy("k", "part").agg(F.sum("c").alias("m")).withColumn("before", F.sum("m").over(Window.partitionBy("k").orderBy("part")) - F.col("m"))
+    parts = parts.join(F.broadcast(totals.select("k", "n")), "k").where((F.col("before") <= high) & (low < F.col("before") + F.col("m")))
+    end = F.col("before") + F.sum("c").over(Window.partitionBy("k", "part").orderBy("v"))
+    middle = counts.join(F.broadcast(parts), ["k", "part"]).withColumn("end", end).where((F.col("end") - F.col("c") <= high) & (low < F.col("end")))
+    median = middle.groupBy("k").agg((F.min("v") / 2 + F.max("v") / 2).alias("median"))
+    named = spark.createDataFrame(list(enumerate(columns)), "k int, measure string")
+    every = named.join(totals, "k", "left").join(spread, "k", "left").join(median, "k", "left")
+    return every.select("measure", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "median", "sd", "min", "max")
 
 
 def agreement(a: DataFrame, b: DataFrame, measure: str = "cos_sim_lag1", epsilon: float = 0.1, keys=("stkcd", "p_year")) -> DataFrame:

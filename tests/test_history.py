@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
-from driftwise.operators import history
+from driftwise.operators import history, similarity
 
 SCHEMA = "stkcd string, p_year int, p_id long, date date, embedding array<double>"
 
@@ -62,3 +62,20 @@ def test_copies_are_not_dealt_to_every_block(spark):
     got = history.self_similarity(spark.createDataFrame(rows, SCHEMA), block=50).collect()
     assert sum(r.sim_max is not None for r in got) == n - 1
     assert shuffled(spark, since) < 10 * n
+
+
+def test_summary_is_exact_and_holds_no_column_in_one_task(spark):
+    rng = np.random.default_rng(7)
+    n = 2000
+    values = {"a": rng.normal(size=n), "b": np.where(rng.random(n) < 0.9, 1.0, rng.random(n)), "c": np.round(rng.random(n), 2), "d": np.full(n, np.nan), "e": np.where(np.arange(n) == 7, 0.25, np.nan)}
+    rows = [tuple(None if c in "be" and k % 9 == 1 else float(x[k]) for c, x in values.items()) for k in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
+    out = similarity.summary(df, list(values))
+    got = {r.measure: r for r in out.collect()}
+    assert list(got) and out.columns == ["measure", "n", "mean", "median", "sd", "min", "max"]
+    for k, c in enumerate(values):
+        x = np.array([r[k] for r in rows if r[k] is not None and r[k] == r[k]])
+        want = (x.mean(), np.median(x), x.std(ddof=1) if len(x) > 1 else None, x.min(), x.max()) if len(x) else (None,) * 5
+        r = got[c]
+        assert r.n == len(x) and (r.mean, r.median, r.sd, r.min, r.max) == tuple(w if w is None else pytest.approx(w, abs=1e-12) for w in want), c
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
