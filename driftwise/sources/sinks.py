@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import short_model_name
+from . import stata_sink
 
 
 def write_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -111,5 +112,5 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_stata(df: DataFrame, path: str) -> None:
-    """One local Stata file. The format is one file with its number of rows in front, so rows pass through the driver; Parquet has no such bound."""
-    df.toPandas().to_stata(path.removeprefix("file://"), write_index=False, version=118)
+    """One Stata file at a path that the driver and all executors can open; tasks write the rows."""
+    stata_sink.write(df, path)

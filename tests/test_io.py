@@ -1,5 +1,7 @@
 """Sources, sinks, the stream and the command line."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -83,3 +85,33 @@ def test_command_line(spark, tmp_path, years):
     assert run("preview", "--input", str(tmp_path / "raw"), "-n", "1") == 0
     assert run("inspect", "--input", str(tmp_path / "raw")) == 0
     assert run("sample", "--input", str(tmp_path / "e/firm_year_hashing_embeddings.parquet")) == 0
+
+
+def test_stata_file_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    schema = "name string, b boolean, small byte, k int, big long, huge long, gap int, f float, x double, at timestamp, notes string, none string"
+    at = lambda k: dt.datetime(1955, 1, 1, 12) + dt.timedelta(days=97 * k, milliseconds=k)
+    rows = [
+        (f"é{k}" * (k % 4) if k % 7 else None, k % 2 == 0, k % 120, -k, 10**6 + k, 2**40 + k, None if k % 5 == 0 else k, k / 4 if k % 3 else float("nan"), None if k % 4 == 0 else k / 7, None if k % 11 == 0 else at(k), "" if k % 2 else "ü" * (k * 30), None)
+        for k in range(200)
+    ]
+    df = spark.createDataFrame(rows, schema).repartitionByRange(7, "huge").sortWithinPartitions("huge")
+    want = df.toPandas().assign(none="")
+    monkeypatch.setattr(type(df), "toPandas", lambda *_: pytest.fail("rows pass through the driver"))
+    path = str(tmp_path / "d.dta")
+    sinks.write_stata(df, "file://" + path)
+    assert [p.name for p in tmp_path.iterdir()] == ["d.dta"]
+    got = pd.read_stata(path)
+    want.to_stata(str(tmp_path / "want.dta"), write_index=False, version=118)
+    pd.testing.assert_frame_equal(got, pd.read_stata(str(tmp_path / "want.dta")))
+    back = readers.read_stata(spark, path, ["big", "x"], chunk=9).orderBy("big").collect()
+    assert [tuple(r) for r in back] == [(r[4], r[8]) for r in rows]
+
+
+def test_empty_and_impossible_stata_files(spark, tmp_path):
+    path = str(tmp_path / "d.dta")
+    sinks.write_stata(spark.createDataFrame([], "a string, k int, x double"), path)
+    assert readers.read_stata(spark, path).collect() == [] and pd.read_stata(path).columns.tolist() == ["a", "k", "x"]
+    with pytest.raises(ValueError, match="infinite"):
+        sinks.write_stata(spark.createDataFrame([(float("inf"),)], "x double"), path)
+    with pytest.raises(ValueError, match="no type"):
+        sinks.write_stata(spark.createDataFrame([([1],)], "x array<int>"), path)
