@@ -49,7 +49,7 @@ def read_wide_vectors(spark: SparkSession, path: str, keys: str, pattern: str =
 
 
 def read_stata(spark: SparkSession, path: str, columns: list[str] | None = None, chunk: int = 100_000, categoricals: bool = False) -> DataFrame:
-    """A Stata file, in row ranges of ``chunk`` that tasks read for themselves."""
+    """A Stata file, in row ranges of ``chunk`` that tasks read for themselves (several ranges each beyond 1,000 tasks)."""
     from .stata import StataSource
 
     spark.dataSource.register(StataSource)

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, StringType, StructField, StructType, TimestampType
 
+#: Each task opens the file anew, so beyond so many tasks each takes several ranges of ``chunk`` rows.
+TASKS = 1000
 _KINDS = {"int8": ShortType(), "int16": ShortType(), "int32": IntegerType(), "float32": FloatType(), "float64": DoubleType()}
 
 
@@ -67,6 +69,7 @@ class StataReader(DataSourceReader):
         with self.source.open() as f:
             f.data_label
             total = f._nobs
+        chunk *= max(1, -(-total // (chunk * TASKS)))
         return [Rows(k, min(total, k + chunk)) for k in range(0, total, chunk)] or [Rows(0, 0)]
 
     def read(self, part: Rows):

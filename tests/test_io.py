@@ -115,3 +115,13 @@ def test_empty_and_impossible_stata_files(spark, tmp_path):
         sinks.write_stata(spark.createDataFrame([(float("inf"),)], "x double"), path)
     with pytest.raises(ValueError, match="no type"):
         sinks.write_stata(spark.createDataFrame([([1],)], "x array<int>"), path)
+
+
+def test_small_ranges_do_not_open_a_large_file_for_each(spark, tmp_path):
+    path = str(tmp_path / "d.dta")
+    n = 30_001
+    pd.DataFrame({"k": np.arange(n, dtype=np.int32)}).to_stata(path, write_index=False, version=118)
+    df = readers.read_stata(spark, path, chunk=7)
+    assert df.rdd.getNumPartitions() <= 1000
+    assert sorted(r.k for r in df.collect()) == list(range(n))
+    assert readers.read_stata(spark, path, chunk=7000).rdd.getNumPartitions() == 5
